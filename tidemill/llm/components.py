@@ -1,0 +1,41 @@
+"""Connected components of an edge table by repeated contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import dropped, written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b long. Returns node, label: each node with an edge and the smallest node it reaches.
+
+    Every round each node hooks onto its smallest neighbour and edges are drawn between the hooks, so that the
+    nodes left at least halve. Both sides of every join are written tables, which adaptive execution can split
+    where one node has a large share of the edges. Null ends are ignored; no edges give no rows.
+    """
+    edges = written(edges.select("a", "b").where("a <> b").distinct())
+    labels = None
+    while not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        hook = written(ends.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("hook")))
+        drawn = (
+            edges.join(hook.select(F.col("node").alias("a"), F.col("hook").alias("x")), "a")
+            .join(hook.select(F.col("node").alias("b"), F.col("hook").alias("y")), "b")
+            .where("x <> y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .distinct()
+        )
+        new_edges = written(drawn)
+        if labels is None:
+            new_labels = hook.withColumnRenamed("hook", "label")
+        else:
+            moved = hook.select(F.col("node").alias("label"), "hook")
+            new_labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("hook", "label").alias("label")))
+            dropped(hook, labels)
+        dropped(edges)
+        edges, labels = new_edges, new_labels
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels
