@@ -36,7 +36,23 @@ def op5_chat_format(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_exact_dedup": op3_exact_dedup, "op5_chat_format": op5_chat_format}
+def op4_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import bpe_digests
+
+    return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import packed
+
+    return packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing)}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "op1_near_dedup": rf"""
