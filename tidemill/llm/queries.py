@@ -52,7 +52,19 @@ def op6_packing(spark, sf_dir):
     return packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing)}
+def op8_quality(spark, sf_dir):
+    from .quality import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_licenses(spark, sf_dir):
+    from .licenses import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents")).drop("blocks")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing, op8_quality, op9_licenses)}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "op1_near_dedup": rf"""
