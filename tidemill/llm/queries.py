@@ -64,7 +64,21 @@ def op9_licenses(spark, sf_dir):
     return license_scan(read(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing, op8_quality, op9_licenses)}
+def op2_lm_scores(spark, sf_dir):
+    import public_tokenizers
+
+    from .lattice_lm import lm_scores
+
+    return lm_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_media(spark, sf_dir):
+    from .avi import media_rows
+
+    return media_rows(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_lm_scores, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing, op7_media, op8_quality, op9_licenses)}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "op1_near_dedup": rf"""
