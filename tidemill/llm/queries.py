@@ -78,7 +78,19 @@ def op7_media(spark, sf_dir):
     return media_rows(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_lm_scores, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing, op7_media, op8_quality, op9_licenses)}
+def op10_secrets(spark, sf_dir):
+    from .secrets import secret_scan
+
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_lm_scores, op3_exact_dedup, op4_bpe, op5_chat_format, op6_packing, op7_media, op8_quality, op9_licenses, op10_secrets, pipeline)}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "op1_near_dedup": rf"""
