@@ -4,13 +4,13 @@ The steps, all of them Spark jobs whose state is in written tables:
 
 1. Each text gets its set of word shingles (64-bit hashes), the set's digest and its bottom-k sketch: the k smallest
    values of one hash function. Texts with equal sets are one *node* from here on.
-2. Inverted lists of retained values. A pair that meets the threshold shares at least half of the k values but for
-   odds below one in 10^7, so each node enters the lists of only its rarest values, in one global order by document
-   frequency (prefix filter). Frequencies that are at least 1/300,000 of all retained values are counted exactly
-   and broadcast (300,000 entries at most, whatever the input); rarer values rank below them all.
+2. Inverted lists of retained values. A pair at the threshold shares 36 of 64 retained values or more but for odds of
+   some 10^-6, so each node enters the lists of only its rarest values, in one global order by exact document
+   frequency (prefix filter).
 3. The union sketch (the k smallest values of both) estimates the Jaccard similarity; pairs within five deviations
    of the threshold link nodes into tentative groups, outside of which no link can be.
-4. Only tentative groups get whole sets, exact prefix lists and exact Jaccard; links found give the final groups.
+4. Only tentative groups get whole sets. Groups of up to SMALL nodes are settled in one task each; larger ones get
+   prefix lists over the whole sets, with length and positional filters, and exact Jaccard on the pairs left.
 
 Lists are never expanded to all their pairs. Star rounds compare every entry of a list with one centre; entries that
 came into the centre's component leave the list's work, and only entries of *different* components are compared
@@ -32,14 +32,8 @@ from .components import components
 from .text import GOLD, U, mix, shingle_sets
 
 K = 64  # values in a sketch
-SHARED = 32  # of which a linked pair shares this many at least
+SHARED = 36  # of which a linked pair shares this many at least
 NEAR = 0.55  # estimates from here on are looked into; five deviations below 0.8
-HEAVY_ENTRIES = 300_000
-
-
-def _needed(n: np.ndarray, percent: int) -> np.ndarray:
-    """Elements that a set of n shares at least with any set it is linked with."""
-    return -(-n * percent // 100)
 
 
 def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,66 +52,48 @@ def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def _counts(sets: DataFrame) -> DataFrame:
-    """v, df of the values in a binary column of sets, added up within each batch first."""
+def _prefixes(nodes: DataFrame, column: str, length: str, group: bool = False) -> DataFrame:
+    """v, node, n, pos: entries of the inverted lists. length: SQL for the entries of a node that go in, from n and held."""
 
     def run(batches):
         for batch in batches:
-            joined = b"".join(x for x in batch.column(0).to_pylist() if x)
-            v, c = np.unique(np.frombuffer(joined, U), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c)], ["v", "c"])
-
-    return sets.mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("df"))
-
+            sets = [np.frombuffer(x, U) for x in batch.column(2).to_pylist()]
+            held = np.array([len(x) for x in sets])
+            if not held.sum():
+                continue
+            v, of = np.concatenate(sets), pa.array(np.repeat(np.arange(len(sets)), held))
+            if group:
+                v = mix(v + np.repeat(batch.column(3).to_numpy().view(U) * GOLD, held))
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(held).take(of)], ["v", "node", "n", "held"])
 
-def _heavy(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values with their frequencies, of those that hold 1/HEAVY_ENTRIES of all `total` values or more."""
-    least = max(2, -(-total // HEAVY_ENTRIES))
-    found = _counts(sets).where(F.col("df") >= least).toArrow()
-    v, df = found.column("v").to_numpy().view(U), found.column("df").to_numpy()
-    order = np.argsort(v)
-    return v[order], df[order]
+    values = nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(run, "v long, node long, n long, held long")
+    # a value of one node alone links nothing and ranks before all others, so that its number is enough
+    often = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = values.join(often, "v").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    ranked = ranked.withColumn("alone", F.col("held") - F.size("vs")).withColumn("take", F.expr(f"cast(greatest(0, {length} - alone) as int)"))
+    entries = ranked.select("node", "n", "alone", F.posexplode(F.expr("slice(vs, 1, take)")).alias("i", "x"))
+    return entries.select("x.v", "node", "n", (F.col("alone") + F.col("i")).alias("pos"))
 
 
-def _prefixes(nodes: DataFrame, column: str, total: int, length: Callable[[np.ndarray, int], int], group: bool) -> DataFrame:
-    """v, node, n: entries of the inverted lists."""
-    heavy = nodes.sparkSession.sparkContext.broadcast(_heavy(nodes.select(column), total))
+def _search(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, rounds: int, whole: bool) -> DataFrame | None:
+    """node, label: components of the confirmed links among pairs that share a list; None without links.
 
-    def run(batches):
-        v, df = heavy.value
-        for batch in batches:
-            name, n, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            salt = batch.column(3).to_numpy().view(U) * GOLD if group else None
-            out, of = [], []
-            for i, blob in enumerate(blobs):
-                s = np.frombuffer(blob, U)
-                at = np.searchsorted(v, s)
-                at[at == len(v)] = 0
-                weight = np.where(v[at] == s, df[at], 0) if len(v) else np.zeros(len(s), np.int64)
-                s = s[np.lexsort((s, weight))[: length(n[i], len(s))]]
-                out.append(mix(s + salt[i]) if group else s)
-                of.append(np.full(len(s), i))
-            if out:
-                of = np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.array(name, np.int64)[of]), pa.array(np.array(n, np.int64)[of])], ["v", "node", "n"])
-
-    return nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(run, "v long, node long, n long")
-
-
-def _search(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame | None:
-    """node, label: components of the confirmed links among pairs that share a list; None without links."""
+    whole: the lists come from whole sets, so that the first value that a pair shares must leave enough to share.
+    """
     several = lists.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("v")
     lists = written(written(lists).join(written(several), "v"))
     compatible = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    if whole:
+        compatible += "".join(f" and pos{i} <= n{i} - cast(ceil({percent} * (n + n2) / {100 + percent}) as long)" for i in ("", "2"))
     pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     labels, live = None, lists
     for r in range(rounds + 1):
         if labels is not None:
-            named = written(live.select("v", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+            named = written(live.select("v", "node", "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
         else:
-            named = live.select("v", "node", "n", F.col("node").alias("label"))
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))).alias("c")
-        centres = named.groupBy("v").agg(centre, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v", "c.node2", "c.n2", "c.label2")
+            named = live.select("v", "node", "n", "pos", F.col("node").alias("label"))
+        centre = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))).alias("c")
+        centres = named.groupBy("v").agg(centre, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v", "c.node2", "c.n2", "c.pos2", "c.label2")
         centres = written(centres)
         if centres.isEmpty():
             break
@@ -136,14 +112,24 @@ def _search(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent
     return labels
 
 
+def _brief(nodes: DataFrame) -> DataFrame:
+    """node and the upper half of each sketch value, in the same order."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), binaries([(np.frombuffer(x, U) >> U(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()])], ["node", "brief"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node long, brief binary")
+
+
 def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.frombuffer(x + y, U) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = [np.frombuffer(x + y, np.uint32) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             size = np.array([len(x) for x in rows])
-            both = np.full((len(rows), max(2 * K, 1)), U(0xFFFFFFFFFFFFFFFF))
+            both = np.full((len(rows), 2 * K), np.uint32(0xFFFFFFFF))
             for i, x in enumerate(rows):
                 both[i, : len(x)] = x
             both.sort(axis=1)
@@ -156,7 +142,7 @@ def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
             yield batch.select([0, 1]).filter(pa.array(hits >= NEAR * k))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x, y = (sketched.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        x, y = (sketched.select(F.col("node").alias(c), F.col("brief").alias(f"s{c}")) for c in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
     return confirm
@@ -196,6 +182,39 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.join(wanted, "doc_id").select("text", "node", "label").mapInArrow(run, "node long, n long, label long, shingles binary")
 
 
+def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """For one small tentative group (node, shingles): node and component, from the overlaps of whole sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(code, kind="stable")
+        posted, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+        first = np.concatenate([[0], np.cumsum(size)])
+        label, waiting = np.full(len(nodes), -1), np.ones(len(nodes), bool)
+        for seed in range(len(nodes)):
+            queue = [seed] if waiting[seed] else []
+            while queue:
+                i = queue.pop()
+                waiting[i], label[i] = False, seed
+                own = code[first[i] : first[i + 1]]
+                shared = np.bincount(np.concatenate([posted[start[c] : start[c + 1]] for c in own]), minlength=len(nodes))
+                linked = np.flatnonzero(waiting & (100 * shared >= percent * (size + size[i] - shared)))
+                waiting[linked] = False
+                queue += linked.tolist()
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, nodes)
+        return pa.table({"node": nodes, "label": least[label]})
+
+    return run
+
+
+SMALL = 200  # nodes of a tentative group that one task looks into
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
@@ -215,24 +234,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     )
-    total, texts = nodes.agg(F.sum(F.least("n", F.lit(K))), F.sum("copies")).first()
+    (texts,) = nodes.agg(F.sum("copies")).first()
     labels = None
-    if total:
-
-        def retained(n: int, held: int) -> int:
-            certain = int(_needed(np.int64(n), percent))
-            return held - (min(certain, SHARED) if 100 * n > percent * K else certain) + 1
-
-        def whole(n: int, held: int) -> int:
-            return held - int(_needed(np.int64(n), percent)) + 1
-
-        tentative = _search(_prefixes(nodes, "sketch", total, retained, False), _estimated(nodes), percent, 1)
+    if texts:
+        sure = f"cast(ceil({percent} * n / 100) as long)"  # shared by any linked pair
+        cut = f"held - if(100 * n > {percent * K}, least({sure}, {SHARED}), {sure}) + 1"
+        brief = written(_brief(nodes))
+        tentative = _search(_prefixes(nodes, "sketch", cut), _estimated(brief), percent, 1, False)
+        dropped(brief)
         if tentative is not None:
-            wanted = written(nodes.join(tentative, "node").where("doc_id is not null").select("doc_id", "node", "label"))
-            sets = written(_whole_sets(docs, wanted, width))
-            (size,) = sets.agg(F.sum("n")).first()
-            labels = _search(_prefixes(sets, "shingles", size or 1, whole, True), _exact(sets, percent), percent, rounds)
-            dropped(tentative, wanted)
+            sizes = written(tentative.groupBy("label").agg(F.count("*").alias("size")))
+            wanted = written(nodes.join(tentative, "node").join(sizes, "label").where("doc_id is not null").select("doc_id", "node", "label", "size"))
+            small = _whole_sets(docs, wanted.where(F.col("size") <= SMALL), width)
+            labels = small.groupBy("label").applyInArrow(_within(percent), "node long, label long")
+            large = wanted.where(F.col("size") > SMALL)
+            if not large.isEmpty():
+                sets = written(_whole_sets(docs, large, width))
+                found = _search(_prefixes(sets, "shingles", f"held - {sure} + 1", True), _exact(sets, percent), percent, rounds, True)
+                labels = labels if found is None else labels.union(found)
     named = nodes.select("node", "doc_id", "copies")
     if labels is not None:
         named = written(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
