@@ -1,0 +1,248 @@
+"""Edge cases and brute-force comparisons of the corpus operators on small fixtures."""
+
+import hashlib
+import math
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tidemill.llm import avi, packing, secrets
+from tidemill.llm.bpe import bpe_digests, encoded
+from tidemill.llm.chat import format_chats, read_back
+from tidemill.llm.components import components
+from tidemill.llm.exact_dups import exact_dedup, exact_duplicates
+from tidemill.llm.lattice_lm import Lattice, lm_scores
+from tidemill.llm.licenses import license_scan
+from tidemill.llm.near_dups import near_dedup, near_duplicates
+from tidemill.llm.quality import quality_filter, quality_scores
+from tidemill.llm.queries import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+BPE, WORD, PIECES = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
+LOW = {c: c + 32 for c in range(65, 91)}
+PROSE = " ".join(f"word{i}" for i in range(60))
+#: nulls, empties, white space, repeats, ties, a very long text, and columns whose names the operators use inside
+ROWS = [
+    (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one two"), (6, "One\x0bTWO"), (7, PROSE), (8, PROSE + " x"), (8, PROSE + " x"), (9, "é ß 中文 <|endoftext|> ½ \x1c."),
+    (10, "licensed under CC BY-NC 4.0\nThis work is licensed under the GNU General Public License, version 3."), (11, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'), (12, "long " * 30000), (None, PROSE),
+]
+SCHEMA = "doc_id long, text string, node long, label string, v int, n int, row int, rank int, block int, size int, score double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, 1, "x", 2, 3, 4, 5, 6, 7, 0.5) for i, t in ROWS], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def listed(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def near_by_force(rows, width):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if label[i] == g and rows[i][0] is not None), default=None) for g in label}
+    return [(rows[i][0], len(sets[i]), least[label[i]]) for i in range(len(rows))]
+
+
+def test_near_duplicates(spark, docs, none):
+    assert listed(near_duplicates(docs, 2), "doc_id", "n_shingles", "component_id") == sorted(near_by_force(ROWS, 2), key=repr)
+    assert near_duplicates(none).count() == 0
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(420):  # one large tentative group: the way for groups beyond one task
+        w = list(base)
+        for k in r.choice(150, r.integers(0, 14), replace=False):
+            w[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = listed(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(near_by_force(rows, 2), key=repr)
+    assert near_dedup(docs).columns == docs.columns and near_dedup(docs).where("doc_id = 8").count() == 0
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
+    got = dict(listed(components(spark.createDataFrame(path, "a long, b long")), "node", "label"))
+    assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+
+
+def test_lm(docs, none):
+    W = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + ["</>"] for _, t in ROWS]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in ROWS]
+    c = Counter(w for ws, h in zip(W, held) if not h for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = listed(lm_scores(docs, PIECES), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    want = sorted(((i, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for (i, _), h, ws in zip(ROWS, held, W)), key=repr)
+    for g, w in zip(got, want):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5]))
+    assert lm_scores(none, PIECES).count() == 0
+
+
+def test_lattice_sums_all_segmentations():
+    weights = {"▁": -0.5, "a": -0.3, "b": -0.4, "ab": -0.2, "▁a": -0.6}
+    x = Lattice(weights, [-3.0] * 256)
+
+    def force(s):
+        return 1.0 if not s else sum(10 ** weights[s[:k]] * force(s[k:]) for k in range(1, min(2, len(s)) + 1) if s[:k] in weights)
+
+    assert abs(x.log10("abab") - math.log10(force("▁abab"))) < 1e-9
+    assert abs(x.log10("é") - (-0.5 - 6)) < 1e-9  # two bytes
+
+
+def test_exact(docs, none):
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in ROWS]
+    want = []
+    for (i, _), x in zip(ROWS, norm):
+        same = [(-len(t or ""), j is None, j) for (j, t), y in zip(ROWS, norm) if x == y]
+        keep = min(same)[2]
+        want.append((i, keep, len(same), i == keep, hashlib.sha256(x.encode()).hexdigest()))
+    assert listed(exact_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
+    assert exact_duplicates(none).count() == 0
+    once = exact_dedup(docs)
+    assert once.columns == docs.columns and once.count() == len(set(norm))
+
+
+def test_bpe(docs, none):
+    t = Tokenizer.from_file(BPE)
+    want = []
+    for i, x in ROWS:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert listed(bpe_digests(docs, BPE), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert listed(encoded(docs, BPE), "doc_id", "decoded") == sorted(((i, x or "") for i, x in ROWS), key=repr)
+    assert bpe_digests(none, BPE).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "\\### a: </turn>\n"), (1, 1, "assistant", None), (2, 0, "assistant", "x"), (3, None, "us:er", ""), (3, 0, None, "\\b\\t####"), (None, 0, "user", "u"), (4, 1, "user", "b"), (4, 1, "user", "a")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, segments int")
+    out = format_chats(df)
+    back = {r["conv_id"]: ([tuple(t) for t in r["t"]], r["valid"]) for r in out.withColumn("t", read_back(out["formatted"])).collect()}
+    assert back == {1: ([("user", "\\### a: </turn>\n"), ("assistant", "")], True), 2: ([("assistant", "x")], False), 3: ([("us:er", ""), ("", "\\b\\t####")], False), None: ([("user", "u")], True), 4: ([("user", "a"), ("user", "b")], False)}
+    assert format_chats(df.limit(0)).count() == 0
+
+
+def test_packing(docs, none):
+    t = Tokenizer.from_file(WORD)
+    rows = packing.packed(docs, WORD).collect()
+    whole = sorted(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in ROWS)
+    assert sum(r["length"] for r in rows) == sum(whole)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        assert [o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1]] and sum(n for _, n in p) <= 4096
+    assert len(places) == -(-sum(whole) // 4096)
+    assert packing.packed(none, WORD).count() == 0
+
+
+def test_local_search_empties_a_bin():
+    bins = [Counter({6: 1}), Counter({5: 1, 3: 1}), Counter({4: 1, 2: 1})]
+    out = packing.local_search(bins, 10)
+    assert len(out) == 2 and sum(out, Counter()) == Counter({6: 1, 5: 1, 3: 1, 4: 1, 2: 1})
+    assert sum(t for t, _ in packing.plan({6: 10, 5: 4, 4: 10, 3: 2}, 10)) == 13
+
+
+def test_media(docs, none):
+    payload = os.urandom(64 * 70)
+    movie = avi.parse(avi.avi(payload))
+    frames = [avi.coefficients(f)[0] for f in movie.frames]
+    assert avi.stored(frames) == payload and len(frames) == 2 and round(movie.fps) == 25
+    f = movie.frames[1]
+    codes = avi._codes(avi._table(0, 8)[1:])
+    assert (avi._decoded(f[f.index(b"\xff\xda") + 10 : -2], codes, codes, 6, 1) == frames[1]).all()
+    flat = np.full((12, 32), 1 / 32)
+    flat[6:, 0] += 0.9
+    assert avi.shots(flat / flat.sum(axis=1, keepdims=True)) == [(0, 6), (6, 12)]
+    with pytest.raises(ValueError):
+        avi.parse(b"no")
+    want = []
+    for i, t in ROWS:
+        raw = (t or "").encode()
+        p = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+    assert listed(avi.media_rows(docs), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
+    assert avi.media_rows(none).count() == 0
+    media = docs.sparkSession.createDataFrame([(1, bytearray(avi.avi(payload))), (2, None), (3, bytearray(b"x"))], "id long, media binary")
+    assert {r["id"] for r in avi.clips(media).collect()} == {1}
+
+
+def test_quality(spark, docs, none):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    marked = quality_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(marked) > 30 and sum(r["predicted"] == r["quality"] for r in marked) >= 0.97 * len(marked)
+    assert quality_filter(d, labels).columns == d.columns
+    odd = spark.createDataFrame([(4, 1), (5, None), (7, 0), (7, 0), (None, 1)], "doc_id long, quality int")
+    for l in (odd, odd.limit(0)):
+        got = quality_scores(docs, l).collect()
+        assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_scores(none, labels).count() == 0
+
+
+def test_licenses(docs, none):
+    got = {r["doc_id"]: r for r in license_scan(docs).collect()}
+    assert (got[10]["base_labels"], got[10]["labels"], got[10]["first_word"], got[10]["last_word"], got[10]["n_base"]) == ("cc-by-nc", "cc-by-nc,gpl", 2, 2, 1)
+    assert [b["line"] for b in got[10]["blocks"]] == [0, 1]
+    assert (got[1]["n_words"], got[1]["labels"], got[1]["first_word"]) == (0, "", None)
+    assert license_scan(none).count() == 0
+
+
+def test_secrets(docs, none):
+    got = [r for r in secrets.secret_scan(docs).collect() if r["secret"]]
+    assert [(r["doc_id"], r["start"], r["end"]) for r in got] == [(11, 11, 51)]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert out[11] == 'a token = "<secret>" b' and out[9] == ROWS[9][1] and out[1] is None
+    assert secrets.secret_scan(none).count() == 0 and secrets.redact_secrets(docs).count() == len(ROWS)
+    test = secrets.example_findings(600, seed=99)
+    p = secrets.trained().score(np.array([secrets.describe(*f[:3]) for f in test])) >= 0.5
+    assert np.mean(p == np.array([f[3] for f in test])) >= 0.97
+    pem = b"-----BEGIN RSA PRIVATE KEY-----\nMIIB" + b"A1b2" * 20 + b"\n-----END RSA PRIVATE KEY-----"
+    data = np.frombuffer(b"x " + pem + b" y", np.uint8)
+    assert secrets.candidates(data, np.array([0, len(data)])) == [(0, 2, 2 + len(pem))]
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        ids = {r["doc_id"] for r in out.collect()}
+        if name == "near_dedup":
+            assert ids == {i for i, _, c in near_by_force(rows, 5) if i == c}
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {i for i, _ in rows}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "conversations", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, want = QUERIES[name](spark, SF), c.sql(ORACLE[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert listed(df, *want.columns) == sorted(want.fetchall(), key=repr)

@@ -245,11 +245,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         if tentative is not None:
             sizes = written(tentative.groupBy("label").agg(F.count("*").alias("size")))
             wanted = written(nodes.join(tentative, "node").join(sizes, "label").where("doc_id is not null").select("doc_id", "node", "label", "size"))
-            small = _whole_sets(docs, wanted.where(F.col("size") <= SMALL), width)
+            again = rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1")
+            once = (lambda sets: sets) if again.isEmpty() else (lambda sets: sets.dropDuplicates(["node"]))  # rows that repeat a doc_id
+            small = once(_whole_sets(docs, wanted.where(F.col("size") <= SMALL), width))
             labels = small.groupBy("label").applyInArrow(_within(percent), "node long, label long")
             large = wanted.where(F.col("size") > SMALL)
             if not large.isEmpty():
-                sets = written(_whole_sets(docs, large, width))
+                sets = written(once(_whole_sets(docs, large, width)))
                 found = _search(_prefixes(sets, "shingles", f"held - {sure} + 1", True), _exact(sets, percent), percent, rounds, True)
                 labels = labels if found is None else labels.union(found)
     named = nodes.select("node", "doc_id", "copies")
