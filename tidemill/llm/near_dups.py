@@ -168,18 +168,18 @@ def _exact(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, label, shingles of the documents in wanted (doc_id, node, label)."""
+    """node, n, label, size, shingles of the documents in wanted (doc_id, node, label, size)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, at in slices(batch.column(0)):
                 sets = shingle_sets(data, at, width)
-                node, label = (batch.column(c).slice(lo, hi - lo) for c in (1, 2))
+                node, label, size = (batch.column(c).slice(lo, hi - lo) for c in (1, 2, 3))
                 same = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == x for s, x in zip(sets, node.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in sets], pa.int64()), label, binaries([s.tobytes() for s in sets])], ["node", "n", "label", "shingles"]).filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in sets], pa.int64()), label, size, binaries([s.tobytes() for s in sets])], ["node", "n", "label", "size", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted, "doc_id").select("text", "node", "label").mapInArrow(run, "node long, n long, label long, shingles binary")
+    return texts.join(wanted, "doc_id").select("text", "node", "label", "size").mapInArrow(run, "node long, n long, label long, size long, shingles binary")
 
 
 def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -247,12 +247,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
             wanted = written(nodes.join(tentative, "node").join(sizes, "label").where("doc_id is not null").select("doc_id", "node", "label", "size"))
             again = rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1")
             once = (lambda sets: sets) if again.isEmpty() else (lambda sets: sets.dropDuplicates(["node"]))  # rows that repeat a doc_id
-            small = once(_whole_sets(docs, wanted.where(F.col("size") <= SMALL), width))
-            labels = small.groupBy("label").applyInArrow(_within(percent), "node long, label long")
-            large = wanted.where(F.col("size") > SMALL)
+            # the texts are read and dealt out once, for groups of either size
+            sets = written(once(_whole_sets(docs, wanted, width)))
+            small, large = sets.where(F.col("size") <= SMALL), sets.where(F.col("size") > SMALL)
+            labels = small.select("node", "label", "shingles").groupBy("label").applyInArrow(_within(percent), "node long, label long")
             if not large.isEmpty():
-                sets = written(once(_whole_sets(docs, large, width)))
-                found = _search(_prefixes(sets, "shingles", f"held - {sure} + 1", True), _exact(sets, percent), percent, rounds, True)
+                found = _search(_prefixes(large, "shingles", f"held - {sure} + 1", True), _exact(large, percent), percent, rounds, True)
                 labels = labels if found is None else labels.union(found)
     named = nodes.select("node", "doc_id", "copies")
     if labels is not None:
