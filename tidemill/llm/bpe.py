@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, tune
+from .common import binaries, tune, written
 from .tokens import CHAR_TO_BYTE, GPT_PATTERN
 
 WORDS = 200_000
@@ -25,7 +25,7 @@ WORDS = 200_000
 def word_table(docs: DataFrame, definition, most: int = WORDS) -> DataFrame:
     """word, ids (4 bytes each): the words with at least 1/most of all occurrences, each encoded once."""
     counts = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + GPT_PATTERN), F.lit(0))).alias("word"))
-    counts = counts.groupBy("word").agg(F.count("*").alias("c"))
+    counts = written(counts.groupBy("word").agg(F.count("*").alias("c")))
     # occurrences by powers of two of the count: the bound below holds without sorting the words
     total = F.sum("c")
     seen = counts.groupBy(F.floor(F.log2("c")).alias("p")).agg(total.alias("c"), F.count("*").alias("n")).collect()
