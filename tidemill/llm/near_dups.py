@@ -69,7 +69,7 @@ def _prefixes(nodes: DataFrame, column: str, length: str, group: bool = False) -
     values = nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(run, "v long, node long, n long, held long")
     # a value of one node alone links nothing and ranks before all others, so that its number is enough
     often = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = values.join(often, "v").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    ranked = values.join(often.hint("merge"), "v").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     ranked = ranked.withColumn("alone", F.col("held") - F.size("vs")).withColumn("take", F.expr(f"cast(greatest(0, {length} - alone) as int)"))
     entries = ranked.select("node", "n", "alone", F.posexplode(F.expr("slice(vs, 1, take)")).alias("i", "x"))
     return entries.select("x.v", "node", "n", (F.col("alone") + F.col("i")).alias("pos"))
@@ -80,8 +80,10 @@ def _search(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent
 
     whole: the lists come from whole sets, so that the first value that a pair shares must leave enough to share.
     """
-    several = lists.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("v")
-    lists = written(written(lists).join(written(several), "v"))
+    lists = written(lists)
+    several = written(lists.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("v"))
+    entries, lists = lists, written(lists.join(several.hint("merge"), "v"))
+    dropped(entries, several)
     compatible = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     if whole:
         compatible += "".join(f" and pos{i} <= n{i} - cast(ceil({percent} * (n + n2) / {100 + percent}) as long)" for i in ("", "2"))
@@ -179,7 +181,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in sets], pa.int64()), label, size, binaries([s.tobytes() for s in sets])], ["node", "n", "label", "size", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted, "doc_id").select("text", "node", "label", "size").mapInArrow(run, "node long, n long, label long, size long, shingles binary")
+    return texts.join(wanted.hint("merge"), "doc_id").select("text", "node", "label", "size").mapInArrow(run, "node long, n long, label long, size long, shingles binary")
 
 
 def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -212,6 +214,15 @@ def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+#: Spark's own runtime filter, 8 MB at most, keeps texts outside of tentative groups out of the shuffle. At more documents
+#: than it can tell apart it lets more texts pass, and the results stay the same.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1m",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "40000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(8 * (8 << 20)),
+}
 SMALL = 200  # nodes of a tentative group that one task looks into
 
 
@@ -228,6 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         raise ValueError("percent must be at least 80")
     spark = docs.sparkSession
     tune(spark)
+    for key, value in BLOOM.items():
+        spark.conf.set(key, value)
     rows = written(sketches(docs, width))
     nodes = written(
         rows.where("node is not null")
@@ -244,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         dropped(brief)
         if tentative is not None:
             sizes = written(tentative.groupBy("label").agg(F.count("*").alias("size")))
-            wanted = written(nodes.join(tentative, "node").join(sizes, "label").where("doc_id is not null").select("doc_id", "node", "label", "size"))
+            wanted = written(nodes.join(tentative, "node").join(sizes, "label").where("doc_id is not null").select("doc_id", "node", "label", "size")).where("size > 1")
             again = rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1")
             once = (lambda sets: sets) if again.isEmpty() else (lambda sets: sets.dropDuplicates(["node"]))  # rows that repeat a doc_id
             # the texts are read and dealt out once, for groups of either size
