@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         sure = f"cast(ceil({percent} * n / 100) as long)"  # shared by any linked pair
         cut = f"held - if(100 * n > {percent * K}, least({sure}, {SHARED}), {sure}) + 1"
         brief = written(_brief(nodes))
-        tentative = _search(_prefixes(nodes, "sketch", cut), _estimated(brief), percent, 1, False)
+        tentative = _search(_prefixes(nodes, "sketch", cut), _estimated(brief), percent, rounds, False)
         dropped(brief)
         if tentative is not None:
             sizes = written(tentative.groupBy("label").agg(F.count("*").alias("size")))
