@@ -165,6 +165,14 @@ def test_local_search_empties_a_bin():
     assert sum(t for t, _ in packing.plan({6: 10, 5: 4, 4: 10, 3: 2}, 10)) == 13
 
 
+def test_exchanges_reach_every_underfull_bin():
+    counts = {2058: 6000, 1044: 6000, 1034: 6000, 1004: 12000}  # best fit: 6000 equal bins are the least filled
+    assert sum(t for t, _ in packing.best_fit(counts, 4096)) == 11000
+    bins = packing.plan(counts, 4096)
+    assert sum(t for t, _ in bins) == 9000 and all(sum(x * n for x, n in use.items()) <= 4096 for _, use in bins)
+    assert sum((Counter({x: n * t for x, n in use.items()}) for t, use in bins), Counter()) == Counter(counts)
+
+
 def test_media(docs, none):
     payload = os.urandom(64 * 70)
     movie = avi.parse(avi.avi(payload))

@@ -1,15 +1,15 @@
 """Documents packed into token sequences of a fixed length.
 
 The search works on the histogram of piece lengths, which has at most as many entries as a sequence has tokens. Best-fit
-bins fill it first, as patterns with multiplicities; a local search over the least filled bins then moves documents and
-exchanges one for one or two for one, each time raising the sum of squared fills, until bins empty or none is left to
-gain. Pieces take their places by their rank among pieces of equal length, so no rows are gathered.
+bins fill it first, as patterns with multiplicities; a local search over all underfull patterns then moves documents and
+exchanges one for one or two for one in all bins of a pattern at once, each time raising the sum of squared fills, until
+no bin can go or none is left to gain. Pieces take their places by their rank among pieces of equal length, so no rows are gathered.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
+import heapq
 import zlib
 from collections import Counter
 
@@ -67,55 +67,124 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     return out
 
 
-def _better(a: Counter, b: Counter, room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What to take from a for what of b so that b, the fuller bin, gains most within its room."""
-    best, found = 0, None
-    ones_a, ones_b = [(x,) for x in a], [(), *((y,) for y in b)]
-    twos = lambda c: [(x, y) for x, y in itertools.combinations_with_replacement(sorted(c), 2) if x != y or c[x] > 1]
-    for give, take in itertools.chain(itertools.product(ones_a, ones_b), itertools.product(twos(a), ones_b[1:]), itertools.product(ones_a, twos(b))):
-        gain = sum(give) - sum(take)
-        if best < gain <= room:
-            best, found = gain, (give, take)
-    return found
-
-
-def local_search(bins: list[Counter], capacity: int, steps: int = 20_000) -> list[Counter]:
-    """Moves, one-for-one and two-for-one exchanges between underfull bins, towards the fuller one of a pair."""
-    fill = [sum(x * n for x, n in b.items()) for b in bins]
-    goal, left = -(-sum(fill) // capacity), steps
-    improved = True
-    while improved and left > 0 and len(bins) > goal:
-        improved = False
-        order = sorted(range(len(bins)), key=fill.__getitem__)
-        for i, j in itertools.product(order, reversed(order)):
-            if i == j or fill[i] == 0 or fill[i] > fill[j] or fill[j] == capacity or left <= 0:
-                continue
-            left -= 1
-            if found := _better(bins[i], bins[j], capacity - fill[j]):
-                give, take = found
-                bins[i].subtract(give), bins[i].update(take)
-                bins[j].subtract(take), bins[j].update(give)
-                bins[i], bins[j] = +bins[i], +bins[j]
-                gain = sum(give) - sum(take)
-                fill[i], fill[j] = fill[i] - gain, fill[j] + gain
-                improved = True
-        kept = [k for k in range(len(bins)) if fill[k]]
-        bins, fill = [bins[k] for k in kept], [fill[k] for k in kept]
-    return bins
-
-
-def plan(counts: dict[int, int], capacity: int = LENGTH, searched: int = 64) -> list[tuple[int, dict[int, int]]]:
-    """Patterns of bins for pieces by length; the `searched` least filled bins are open to the local search."""
-    patterns = sorted(best_fit(counts, capacity), key=lambda p: sum(x * n for x, n in p[1].items()))
-    if sum(t for t, _ in patterns) == -(-sum(x * n for x, n in counts.items()) // capacity):
-        return patterns  # no packing has fewer
-    loose, rest = [], []
-    for times, use in patterns:
-        n = min(times, searched - len(loose))
-        loose += [Counter(use) for _ in range(n)]
-        if times > n:
-            rest.append((times - n, use))
-    return rest + [(1, dict(b)) for b in local_search(loose, capacity)]
+class _Pool:
+    """Patterns with multiplicities. Sums of single pieces and of pairs stand end to end in one array each, by place of pattern."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.at, self.uses, self.times = capacity, {}, [], []
+        self.fill = np.zeros(0, np.int64)
+        self.sums = [(np.zeros(0, np.int64), np.zeros((0, k), np.int64), np.zeros(0, np.int64)) for k in (1, 2)]
+
+    def add(self, use: tuple[tuple[int, int], ...], times: int) -> bool:
+        """True if the pattern is new, or if it had a single bin and can now be exchanged with itself."""
+        if use in self.at:
+            self.times[self.at[use]] += times
+            return self.times[self.at[use]] == times + 1
+        self.at[use] = len(self.uses)
+        self.uses.append(use)
+        self.times.append(times)
+        self.fill = np.append(self.fill, sum(x * n for x, n in use))
+        if self.fill[-1] == self.capacity:
+            return True
+        x, n = np.array(use, np.int64).reshape(-1, 2).T
+        i, j = np.triu_indices(len(x))
+        some = (i != j) | (n[i] > 1)
+        for k, pieces in ((0, x[:, None]), (1, np.stack([x[i[some]], x[j[some]]], axis=1))):
+            pieces = pieces[np.argsort(pieces.sum(axis=1), kind="stable")]
+            old = self.sums[k]
+            self.sums[k] = (np.append(old[0], pieces.sum(axis=1)), np.concatenate([old[1], pieces]), np.append(old[2], np.full(len(pieces), self.at[use])))
+        return True
+
+    def remove(self, use: tuple[tuple[int, int], ...], times: int) -> None:
+        at = self.at[use]
+        self.times[at] -= times
+        if not self.times[at]:
+            del self.at[use]
+            self.fill[at] = self.capacity  # a full bin takes no part
+
+    def packed(self) -> _Pool:
+        out = _Pool(self.capacity)
+        for use, at in self.at.items():
+            out.add(use, self.times[at])
+        return out
+
+    def best(self, use: tuple[tuple[int, int], ...]) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
+        """The exchange that gains most between a pattern and any: places of the less and the more filled bin, what goes, what comes."""
+        me, found, most = self.at[use], None, 0
+        mine = [(s[lo:hi], p[lo:hi]) for s, p, o in self.sums for lo, hi in [np.searchsorted(o, [me, me + 1])]]
+        full, room = self.fill[me], self.capacity - self.fill
+        gives = (self.fill >= full) & (room > 0)  # to these
+        gives[me] = self.times[me] > 1
+        takes = (self.fill <= full) & (self.fill > 0)  # from these
+        takes[me] = False
+        none = (np.zeros(len(room), np.int64), np.zeros((len(room), 0), np.int64), np.arange(len(room)))
+        for (given, give), (taken, take, owner) in ((mine[0], none), (mine[0], self.sums[0]), (mine[1], self.sums[0]), (mine[0], self.sums[1])):
+            if len(given) and len(taken):
+                i = np.searchsorted(given, taken + room[owner], "right") - 1
+                gain = np.where((i >= 0) & gives[owner], given[i] - taken, 0)
+                k = int(gain.argmax())
+                if gain[k] > most:
+                    most, found = int(gain[k]), (me, int(owner[k]), tuple(give[i[k]].tolist()), tuple(take[k].tolist()))
+        if room[me] > 0:
+            empty = (np.zeros(1, np.int64), np.zeros((1, 0), np.int64))
+            for (given, give, owner), (taken, take) in ((self.sums[0], empty), (self.sums[0], mine[0]), (self.sums[1], mine[0]), (self.sums[0], mine[1])):
+                if len(given) and len(taken):
+                    i = np.searchsorted(taken, given - room[me], "left")
+                    fits = (i < len(taken)) & takes[owner]
+                    i = np.minimum(i, len(taken) - 1)
+                    gain = np.where(fits, given - taken[i], 0)
+                    k = int(gain.argmax())
+                    if gain[k] > most:
+                        most, found = int(gain[k]), (int(owner[k]), me, tuple(give[k].tolist()), tuple(take[i[k]].tolist()))
+        return found
+
+
+def exchanged(patterns: list[tuple[int, dict[int, int]]], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Moves, one-for-one and two-for-one exchanges between all underfull bins, towards the fuller one of a pair.
+
+    Bins of one pattern are exchanged together: of two patterns, as many pairs of bins as the rarer one has; of one
+    pattern with itself, half of its bins with the other half. A pattern is compared with all others when it comes up
+    and again only when it changes, least filled first. It ends when no exchange gains, or when no packing has fewer bins.
+    """
+    key = lambda use: tuple(sorted(use.items()))
+    pool = _Pool(capacity)
+    for n, use in patterns:
+        pool.add(key(use), n)
+    size = lambda use: sum(x * n for x, n in use)
+    bins = sum(pool.times)
+    goal = -(-sum(size(u) * pool.times[at] for u, at in pool.at.items()) // capacity)
+    open_ = [(size(u), u) for u in pool.at if size(u) < capacity]
+    heapq.heapify(open_)
+    while open_ and bins > goal:
+        use = open_[0][1]
+        found = pool.best(use) if use in pool.at else None
+        if found is None:
+            heapq.heappop(open_)
+            continue
+        i, j, give, take = found
+        a, b = pool.uses[i], pool.uses[j]
+        n = pool.times[i] // 2 if i == j else min(pool.times[i], pool.times[j])
+        less, more = Counter(dict(a)), Counter(dict(b))
+        less.subtract(give), less.update(take), more.subtract(take), more.update(give)
+        pool.remove(a, n), pool.remove(b, n)
+        for new in (key(+less), key(+more)):
+            if not new:
+                bins -= n
+            elif pool.add(new, n) and size(new) < capacity:
+                heapq.heappush(open_, (size(new), new))
+        if len(pool.uses) > 2 * len(pool.at) + 64:
+            pool = pool.packed()
+    return [(pool.times[at], dict(use)) for use, at in pool.at.items()]
+
+
+def local_search(bins: list[Counter], capacity: int) -> list[Counter]:
+    """exchanged() over single bins."""
+    return [Counter(use) for times, use in exchanged([(1, dict(b)) for b in bins], capacity) for _ in range(times)]
+
+
+def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int, dict[int, int]]]:
+    """Patterns of bins for pieces by length: best fit, then exchanges between all underfull bins if a packing could have fewer."""
+    return exchanged(best_fit(counts, capacity), capacity)
 
 
 def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
