@@ -1,5 +1,7 @@
 """The engine's catalog, stream DDL, windows, state and recovery on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,27 @@ def test_graphs(spark):
     assert dict(map(tuple, cycle.strongly_connected().collect())) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
     assert dict(map(tuple, cycle.connected_components().collect())) == dict.fromkeys(range(1, 6), 1)
     assert dict(map(tuple, cycle.triangles().collect())) == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_components_of_long_paths_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(199)] + [(1000 + i, 1000 + (i + 1) % 200) for i in range(200)] + [(2000 + (i + 1) % 200, 2000 + i) for i in range(200)]
+    g = Graph.from_edges(spark.createDataFrame([*edges, (199, 1000)], "src long, dst long"))
+    assert {(r["id"], r["value"]) for r in g.connected_components().collect()} == {(i, 0) for i in [*range(200), *range(1000, 1200)]} | {(i, 2000) for i in range(2000, 2200)}
+    got = [tuple(r) for r in g.strongly_connected().select("id", "component").collect()]
+    assert sorted(got) == [(i, i) for i in range(200)] + [(i, 1000) for i in range(1000, 1200)] + [(i, 2000) for i in range(2000, 2200)]
+    path = Graph.from_edges(spark.createDataFrame([(i, i + 1) for i in range(59)], "src long, dst long"))
+    far = path.pregel(F.col("id"), lambda s, d: F.when(s < d, s), F.min, F.least)
+    assert far.where("value <> 0").count() == 0 and path.pregel(F.col("id"), lambda s, d: F.when(s < d, s), F.min, F.least, most=2).where("value <> 0").count() == 57
+
+
+def test_strong_components_by_force(spark):
+    r = random.Random(5)
+    edges = {(r.randrange(60), r.randrange(60)) for _ in range(80)}
+    ids = sorted({x for e in edges for x in e})
+    reach = {i: {i} for i in ids}
+    for _ in ids:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    want = [(i, min(j for j in reach[i] if i in reach[j])) for i in ids]
+    g = Graph.from_edges(spark.createDataFrame(sorted(edges), "src long, dst long"))
+    assert len(set(c for _, c in want)) < len(ids) and sorted(tuple(x) for x in g.strongly_connected().select("id", "component").collect()) == want

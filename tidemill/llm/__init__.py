@@ -1 +1 @@
-"""Operators for building training corpora. Nothing outside this folder imports it."""
+"""Operators for building training corpora. Outside this folder only graphs import it, for components."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.components import components
 from ..streaming.streams import scratch
 
 
@@ -76,11 +78,11 @@ class Graph:
         both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).distinct()
         return both.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
-    def pregel(self, start: Column, send: Callable[[Column, Column], Column], combine: Callable[[Column], Column], apply: Callable[[Column, Column], Column], most: int = 50) -> DataFrame:
-        """id, value: each round, messages to dst from value pairs; vertices apply them; ends when no value changes."""
+    def pregel(self, start: Column, send: Callable[[Column, Column], Column], combine: Callable[[Column], Column], apply: Callable[[Column, Column], Column], most: int | None = None) -> DataFrame:
+        """id, value: each round, messages to dst from value pairs; vertices apply them; ends when no value changes, or after `most` rounds."""
         values = _cut(self.vertices.select("id", start.alias("value")))
         edges = _cut(self.edges.select("src", "dst"))
-        for _ in range(most):
+        for _ in itertools.count() if most is None else range(most):
             t = edges.join(values.toDF("src", "sv"), "src").join(values.toDF("dst", "dv"), "dst")
             sent = t.select("dst", send(F.col("sv"), F.col("dv")).alias("m")).where("m is not null").groupBy(F.col("dst").alias("id")).agg(combine(F.col("m")).alias("m"))
             moved = _cut(values.join(sent, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("value")).otherwise(apply(F.col("value"), F.col("m"))).alias("value"), F.col("value").alias("old")))
@@ -91,21 +93,41 @@ class Graph:
         return values
 
     def connected_components(self) -> DataFrame:
-        """id, value: the smallest id reachable, edges taken both ways."""
-        both = Graph(self.vertices, self.edges.select("src", "dst").union(self.edges.select("dst", "src")).distinct())
-        return both.pregel(F.col("id"), lambda s, d: F.when(s < d, s), F.min, F.least)
+        """id, value: the smallest id reachable, edges taken both ways; repeated contraction, so long paths take few rounds."""
+        found = components(self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        return self.vertices.select("id").join(found.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("value"))
+
+    def _first_above(self) -> DataFrame:
+        """id, value: of all vertices that reach a vertex, itself too, the first by (hash, id).
+
+        Besides its neighbours' values each vertex takes its value's own, which reaches it as well: values travel further
+        every round, and hashes keep long paths in key order from being the worst case.
+        """
+        values = _cut(self.vertices.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v")).alias("value")))
+        edges = _cut(self.edges.select("src", "dst"))
+        while True:
+            near = edges.join(values.toDF("src", "m"), "src").select(F.col("dst").alias("id"), "m")
+            far = values.select("id", F.col("value.v").alias("at")).where("id <> at").join(values.toDF("at", "m"), "at").select("id", "m")
+            least = near.union(far).groupBy("id").agg(F.min("m").alias("m"))
+            moved = _cut(values.join(least, "id", "left").select("id", F.least("value", F.coalesce("m", "value")).alias("value"), F.col("value").alias("old")))
+            values = moved.select("id", "value")
+            if moved.where("value <> old").isEmpty():
+                return values.select("id", F.col("value.v").alias("value"))
 
     def strongly_connected(self) -> DataFrame:
         """id, component (smallest id): forward colours, then backward reach within a colour, until no vertex is left."""
-        left, done = Graph(_cut(self.vertices.select("id")), _cut(self.edges.select("src", "dst").distinct())), None
+        left, done = Graph(_cut(self.vertices.select("id")), _cut(self.edges.select("src", "dst").where("src <> dst").distinct())), None
         while not left.vertices.isEmpty():
-            colour = _cut(left.pregel(F.col("id"), lambda s, d: F.when(s < d, s), F.min, F.least))
+            colour = left._first_above()
             same = left.edges.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "c2"), "dst").where("c = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            found = Graph(colour.withColumnRenamed("value", "colour"), same).pregel(F.col("id") == F.col("colour"), lambda s, d: F.when(s & ~d, s), F.bool_or, lambda a, b: a | b)
-            hit = _cut(found.where("value").join(colour.toDF("id", "component"), "id").select("id", "component"))
+            back = Graph(left.vertices, same)._first_above()  # a colour's own vertex is its first, so it is found wherever it can be reached
+            root = back.toDF("id", "root").join(colour.toDF("id", "colour"), "id").where("root = colour").select("id", "root")
+            least = root.groupBy("root").agg(F.min("id").alias("component"))
+            hit = _cut(root.join(least, "root").select("id", "component"))
             done = hit if done is None else done.union(hit)
-            left = Graph(_cut(left.vertices.join(hit, "id", "left_anti")), _cut(left.edges.join(hit.select(F.col("id").alias("src")), "src", "left_anti").join(hit.select(F.col("id").alias("dst")), "dst", "left_anti")))
-        return done
+            ids = hit.select("id")
+            left = Graph(_cut(left.vertices.join(ids, "id", "left_anti")), _cut(left.edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti")))
+        return left.vertices.select("id", F.col("id").alias("component")) if done is None else done
 
     def pagerank(self, rounds: int, reset: float = 0.15) -> DataFrame:
         """id, rank: unnormalised ranks that start at 1."""
