@@ -232,6 +232,16 @@ def test_secrets(docs, none):
     assert secrets.candidates(data, np.array([0, len(data)])) == [(0, 2, 2 + len(pem))]
 
 
+def test_secrets_behind_keys(spark):
+    values = {"password=hunter2 x": "hunter2", 'é password="correcthorsebattery" x': "correcthorsebattery", 'api_key: "Xk!9fQ@7zLp#2mVw"': "Xk!9fQ@7zLp#2mVw", "(secret='a7$Kx9')": "a7$Kx9"}
+    rest = ["token: word and more", "max_tokens: 4096, x", "password = None", "auth=self.token)", "private: pany of"]
+    docs = spark.createDataFrame([*enumerate([*values, *rest])], "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["end"]) for r in secrets.secret_scan(docs).where("secret").collect()}
+    assert got == {(i, t.index(v), t.index(v) + len(v)) for i, (t, v) in enumerate(values.items())}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert [out[i] for i in range(len(out))] == [t.replace(v, "<secret>") for t, v in values.items()] + rest
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

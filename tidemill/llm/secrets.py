@@ -1,5 +1,8 @@
 """Secrets in texts: wide candidates, then a random forest that removes false positives.
 
+Candidates are long opaque words, shorter ones with digits, PEM blocks, and whole values behind a key such as password=,
+of any length and characters; a short word without such a key is none.
+
 The forest looks at a candidate's length, how its characters follow each other, how much of it dictionary words cover,
 whether it stands in a path or URL, and the words around it. It is trained here from labelled findings; the default
 ones are drawn by a seeded rule (example_findings), others can be given.
@@ -38,6 +41,10 @@ KINDS = (
     ("jwt", re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+$")),
 )
 ASKS = re.compile(r"(?i)(passw|pwd|secret|token|api.?key|access.?key|auth|credential|private)\w*[\"']?\s*(=|:)+\s*[\"']?$")
+#: The same in bytes, with bounds that keep the search linear; then what follows: quoted to the closing quote, or up to white space.
+KEY = re.compile(rb"(?i)(?:passw|pwd|secret|token|api.?key|access.?key|auth|credential|private)\w{0,64}[\"']?\s{0,16}[=:]{1,3}\s{0,16}")
+VALUE = re.compile(rb"\"((?:\\.|[^\"\\\n])+)\"|'((?:\\.|[^'\\\n])+)'|[\"']?([^\s\"']\S*)")
+PAIRED = {b")": b"(", b"]": b"[", b"}": b"{", b">": b"<"}
 NEAR_GOOD = re.compile(r"(?i)passw|pwd|secret|token|key|auth|credential|bearer|login")
 NEAR_BAD = re.compile(r"(?i)commit|sha|md5|hash|checksum|uuid|guid|revision|example|digest|integrity|version|phone|card|order|isbn|invoice|blob|etag")
 DICTIONARY = frozenset(
@@ -47,7 +54,7 @@ DICTIONARY = frozenset(
     "table column field string number object array function class method module package import export return print error warning info debug trace log "
     "order item product price total count list map set get put read write open close start stop begin end first last next previous left right top bottom".split()
 )
-FEATURES = ("length", "entropy", "upper", "lower", "digit", "switches", "distinct", "hex", "only_digits", "covered", "slashes", "dots", "in_url", "asked", "quoted", "near_good", "near_bad", "published", "dashes", "longest_run")
+FEATURES = ("length", "entropy", "upper", "lower", "digit", "switches", "distinct", "hex", "only_digits", "covered", "slashes", "dots", "in_url", "asked", "quoted", "near_good", "near_bad", "published", "dashes", "longest_run", "equals", "symbols", "brackets", "spaces")
 
 
 def kind_of(value: str, before: str) -> str:
@@ -83,6 +90,7 @@ def describe(value: str, before: str, after: str) -> list[float]:
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(value.isdigit()), covered(value), value.count("/") / n, value.count(".") / n,
         float(bool(re.search(r"(://|www\.|[/\\])\S*$", tail)) or after.startswith(("/", "\\"))), float(bool(ASKS.search(tail))), float(tail.endswith(QUOTES) and after[:1] == tail[-1:]),
         float(bool(NEAR_GOOD.search(tail))), float(bool(NEAR_BAD.search(tail) or NEAR_BAD.search(after[:16]))), float(any(p.match(value) for _, p in KINDS)), value.count("-") / n, runs / n,
+        float(bool((m := ASKS.search(tail)) and m[2] == "=")), sum(not (c.isalnum() or c in "+/_-. ") for c in value) / n, sum(c in "()[]{}<>" for c in value) / n, value.count(" ") / n,
     ]
 
 
@@ -98,7 +106,7 @@ def example_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     for i in range(n):
         before, after = prose(r.randint(2, 6)) + " ", " " + prose(2)
         if i % 2:
-            kind, key = r.randrange(7), ask()
+            kind, key = r.randrange(10), ask()
             if kind == 0:
                 value = "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
                 key = r.choice(["", "", key])
@@ -113,13 +121,19 @@ def example_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 value = pick(alnum, r.randint(10, 40))
             elif kind == 5:
                 value = pick(alnum + "+/", r.choice([40, 43, 64]))
+            elif kind == 7:  # short, with a digit or more
+                value = pick(alnum, r.randint(4, 12)) + pick("0123456789", r.randint(1, 2)) if r.random() < 0.5 else "".join(r.choices(syllables, k=r.randint(1, 3))) + pick("0123456789", r.randint(1, 4))
+            elif kind == 8:
+                value = "".join(r.sample(pick(alnum, r.randint(4, 18)) + pick("!@#$%^&*?~+", r.randint(1, 4)), k=5)) + pick(alnum + "!@#$%^&*", r.randint(1, 16))
+            elif kind == 9:  # letters alone, or some words in quotes
+                value, key = r.choice([pick(low, r.randint(6, 19)), "".join(r.choices(syllables, k=r.randint(3, 8))), prose(r.randint(2, 5))]), r.choice(["password", "passwd", "secret", "api_key", "client_secret"]) + r.choice(['="', "='", ' = "', '": "', ': "'])
             else:
                 value, key = "eyJ" + pick(alnum, 20) + "." + pick(alnum, 40) + "." + pick(alnum + "_-", 43), r.choice(["Bearer ", key])
             before += key
             after = (key[-1] if key.endswith(QUOTES) else "") + after
             out.append((value, before, after, 1))
             continue
-        kind = r.randrange(11)
+        kind = r.randrange(15)
         if kind == 0:
             value, before = pick(hexa, r.choice([32, 40, 64])), before + r.choice(["commit ", "sha1: ", "md5=", "checksum ", "revision ", "sha256:"])
         elif kind == 1:
@@ -141,9 +155,18 @@ def example_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             value = ".".join(str(r.randint(0, 255)) for _ in range(4)) + r.choice(["", "/24"])
         elif kind == 9:
             value = f"{pick(low, r.randint(4, 9))}.{r.randint(10, 99)}" + r.choice([".mail.example.com", ".html", ".tar.gz"])
+        elif kind == 11:  # prose
+            value, before = "".join(r.choices(syllables, k=r.randint(1, 4))), before + r.choice(["the secret: ", "token: ", "passwords: ", "authors: ", "author: ", "private: ", "secrets of: "])
+        elif kind == 12:  # code
+            name = r.choice(sorted(DICTIONARY))
+            value, before = r.choice([f"{name}()", f"get_{name}(self)", f'os.environ["{name.upper()}"]', f"process.env.{name.upper()}", "${" + name.upper() + "}", "{{" + name + "}}", f"<{name}>", f"self.{name}", "None", "null", "true", "false", "str", "string", "String,", "undefined", f"{name}[0]", f"%({name})s", f"${name}"]), before + r.choice(["token", "secret", "password", "api_key", "auth"]) + r.choice(["=", " = ", ": "])
+        elif kind == 13:
+            value, before = pick("0123456789", r.randint(1, 7)), before + r.choice(["max_tokens: ", "tokens=", "n_tokens = ", "token_count: ", "tokens: "])
+        elif kind == 14:
+            value, before = r.choice(["changeme", "password", "your_password", "your-api-key", "secret", "test", "example", "xxxx", "********", "xxxxxxxx", "<password>", "none", "default", "token", "........"]), before + ask()
         else:
             value = f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}"
-        out.append((value, before, after, 0))
+        out.append((value, before, (before[-1] if before.endswith(QUOTES) else "") + after, 0))
     return out
 
 
@@ -229,33 +252,55 @@ def candidates(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def assigned(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Text, start and end (bytes) of the whole quoted or space-delimited value after each key that ASKS knows."""
+    raw, out = data.tobytes(), []
+    for t in range(len(at) - 1):
+        lo, end = int(at[t]), int(at[t + 1])
+        while key := KEY.search(raw, lo, end):
+            lo = key.end()
+            if not (found := VALUE.match(raw, lo, end)):
+                continue
+            a, b = found.span(found.lastindex)
+            if found.lastindex == 3:
+                while b > a and ((last := raw[b - 1 : b]) in (b",", b";", b".", b'"', b"'") or (last in PAIRED and raw.count(PAIRED[last], a, b) < raw.count(last, a, b))):
+                    b -= 1
+            if a < b and not raw.startswith(b"-----BEGIN", a):
+                out.append((t, a, b))
+    return out
+
+
 def _scored(data: np.ndarray, at: np.ndarray, forest: Forest) -> list[tuple[int, int, int, str, float]]:
     """Text, start and end (bytes), kind, score of every candidate."""
-    found, rows, raw = [], [], data.tobytes()
-    for t, lo, hi in candidates(data, at):
-        value = raw[lo:hi].decode("ascii", "replace")
+    found, rows, raw, seen = [], [], data.tobytes(), set()
+    for t, lo, hi, whole in sorted([*((*c, False) for c in candidates(data, at)), *((*c, True) for c in assigned(data, at))]):
+        value = raw[lo:hi].decode("utf-8", "replace")
         if value.startswith("-----BEGIN"):
             found.append((t, lo, hi, "private_key"))
             rows.append(None)
             continue
-        stripped = value.strip(".-/")
-        lo, value = lo + value.index(stripped), stripped
-        hi = lo + len(value)
-        if len(value) < SHORT:
+        if not whole:
+            stripped = value.strip(".-/")
+            lo, value = lo + value.index(stripped), stripped
+            hi = lo + len(value)
+            if len(value) < SHORT:
+                continue
+        if (lo, hi) in seen:
             continue
+        seen.add((lo, hi))
         before = raw[max(int(at[t]), lo - AROUND) : lo].decode("utf-8", "ignore")
         found.append((t, lo, hi, kind_of(value, before)))
         rows.append(describe(value, before, raw[hi : min(int(at[t + 1]), hi + AROUND)].decode("utf-8", "ignore")))
-    seen = [r for r in rows if r is not None]
-    scores = iter(forest.score(np.array(seen)).tolist() if seen else [])
-    return [(*f, 1.0 if r is None else next(scores)) for f, r in zip(found, rows, strict=True)]
+    known = [r for r in rows if r is not None]
+    scores = iter(forest.score(np.array(known)).tolist() if known else [])
+    return sorted((*f, 1.0 if r is None else next(scores)) for f, r in zip(found, rows, strict=True))
 
 
 def secret_scan(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None, cut: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, start, end (code points), kind, score, secret, value_sha256.
 
     Of docs (doc_id, text; others are ignored) every whole text is read. secret is score >= cut; the rows with false are
-    the false positives that the forest removes. Null and empty texts have no candidates; repeated rows each give theirs; an
+    the false positives that the forest removes. A value behind a key and a word inside it are two candidates. Null and empty texts have no candidates; repeated rows each give theirs; an
     empty table gives an empty result.
     """
     tune(docs.sparkSession)
@@ -291,9 +336,10 @@ def redact_secrets(docs: DataFrame, cut: float = 0.5, mark: str = "<secret>") ->
                         spots.setdefault(t, []).append((a, b))
                 for t, cuts in spots.items():
                     parts, last = [], int(at[t])
-                    for a, b in cuts:
-                        parts.append(raw[last:a].decode())
-                        last = b
+                    for a, b in cuts:  # by start; a word inside a value is in its mark
+                        if a >= last:
+                            parts.append(raw[last:a].decode())
+                        last = max(last, b)
                     changed[lo + t] = mark.join([*parts, raw[last : int(at[t + 1])].decode()])
             if changed:
                 columns = list(batch.columns)
