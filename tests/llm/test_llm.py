@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import avi, packing, secrets
+from tidemill.llm import avi, licenses, packing, secrets
 from tidemill.llm.bpe import bpe_digests, encoded
 from tidemill.llm.chat import format_chats, read_back
 from tidemill.llm.components import components
@@ -218,6 +219,17 @@ def test_licenses(docs, none):
     assert license_scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    each = [(label, textwrap.fill(text, 72)) for label, text in licenses.NOTICES] + [(label, textwrap.fill(text, 40)) for label, text in licenses.OPENINGS]
+    rows = [(i, "int x;\n\n" + "\n".join(f" * {l}" for l in text.split("\n")) + "\nint main() {}\n") for i, (_, text) in enumerate(each)]
+    rows += [(100, "the software and\nwithout any free\nlicense under the\n" * 50), (101, "released\n" + "x " * 20 + "\nunder the MIT\nLicense")]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, text) in enumerate(each):
+        assert got[i]["labels"] == label and got[i]["score"] == 1, (i, label, got[i])
+        assert any(b["line"] == 2 for b in got[i]["blocks"])
+    assert got[100]["labels"] == "" and got[101]["blocks"] == []
+
+
 def test_secrets(docs, none):
     got = [r for r in secrets.secret_scan(docs).collect() if r["secret"]]
     assert [(r["doc_id"], r["start"], r["end"]) for r in got] == [(11, 11, 51)]

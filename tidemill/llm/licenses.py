@@ -3,7 +3,8 @@
 The second is an exact set-similarity join of all lines with the templates. Template words are ordered by their
 frequency in the whole corpus; a line is a candidate only if it has one of the rarest words of a template (prefix
 filter), has enough different words (length filter) and can still reach the threshold from the place of the first
-shared word on (positional filter). Candidates are then counted in full.
+shared word on (positional filter). Candidates are then counted in full. Notices in wrapped lines are found in runs of
+words that go on over line ends, each as long as the template and a quarter more.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .common import slices, tune
 from .text import LOWER, NOT_ALNUM, hash_of, span_hashes, spans
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Opening words of public license notices.
-TEMPLATES = (
+#: Opening words of public license notices, then whole notices.
+OPENINGS = (
     ("mit", "released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
@@ -33,6 +34,17 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
+NOTICES = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+TEMPLATES = OPENINGS + NOTICES
 CONTAINED = 0.9
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -48,18 +60,20 @@ class Index:
         self.vocabulary = np.array(sorted({hash_of(w) for _, t in templates for w in words_of(t)}), np.uint64)
         rank = {h: i for i, h in enumerate(sorted(self.vocabulary.tolist(), key=lambda h: (counts.get(h, 0), h)))}
         self.rank = np.array([rank[h] for h in self.vocabulary.tolist()])
-        self.templates, self.prefix = [], {}
+        self.templates, self.prefix, self.runs = [], {}, []
         for k, (label, text) in enumerate(templates):
             own = sorted({rank[hash_of(w)] for w in words_of(text)})
             needed = math.ceil(contained * len(own) - 1e-9)
             self.templates.append((label, frozenset(own), needed))
+            size = len(words_of(text))
+            self.runs.append((np.isin(np.arange(len(rank)), own), size + max(4, size // 4)))
             for place, r in enumerate(own[: len(own) - needed + 1]):
                 self.prefix.setdefault(r, []).append((k, place))
         self.opens = np.zeros(len(self.vocabulary), bool)
         self.opens[list(self.prefix)] = True
 
-    def found(self, block: list[int], distinct: int) -> list[tuple[str, float]]:
-        """Labels and containments of the templates in a block: its sorted template words, and all its different words."""
+    def found(self, block: list[int], distinct: int) -> list[tuple[int, str, float]]:
+        """Places, labels and containments of the templates in a block: its sorted template words, and all its different words."""
         out, seen = [], set()
         for j, r in enumerate(block):
             for k, place in self.prefix.get(r, ()):
@@ -71,9 +85,48 @@ class Index:
                     continue
                 shared = len(own.intersection(block))
                 if shared >= needed:
-                    out.append((label, shared / len(own)))
+                    out.append((k, label, shared / len(own)))
         return out
 
+    def wrapped(self, rank: np.ndarray, place: np.ndarray, line: np.ndarray, hits: dict[int, set[int]]) -> list[tuple[int, str, float]]:
+        """First lines, labels and containments of the templates in runs of words over line ends.
+
+        Of one text: its template words, their places among all words, and their lines; hits has by template the lines
+        that hold it alone. Of overlapping runs with a template the first with the most of it counts.
+        """
+        out, there = [], np.zeros(len(self.rank), bool)
+        there[rank] = True
+        for k in sorted({k for r in np.flatnonzero(there & self.opens).tolist() for k, _ in self.prefix[r]}):
+            label, own, needed = self.templates[k]
+            mine, longest = self.runs[k]
+            if int((there & mine).sum()) < needed:
+                continue
+            some = mine[rank]
+            words = list(zip(rank[some].tolist(), place[some].tolist(), line[some].tolist(), strict=True))
+            counts: dict[int, int] = {}
+            i, best, until = 0, None, -1
+            for r, at, y in words:
+                counts[r] = counts.get(r, 0) + 1
+                while at - words[i][1] >= longest:
+                    old = words[i][0]
+                    counts[old] -= 1
+                    if not counts[old]:
+                        del counts[old]
+                    i += 1
+                x = words[i][2]
+                if len(counts) < needed or x == y or any(x <= z <= y for z in hits.get(k, ())):
+                    continue
+                if best and words[i][1] > until:
+                    out.append(best)
+                    best = None
+                if not best:
+                    until = at
+                if not best or len(counts) / len(own) > best[2]:
+                    best, until = (x, label, len(counts) / len(own)), at
+            if best:
+                out.append(best)
+        return sorted(out)
+
 
 def _words(data: np.ndarray, at: np.ndarray):
     low = LOWER[data]
@@ -101,7 +154,8 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks for every row of docs.
 
-    blocks lists (line, label, containment) of the lines that hold `contained` of a template's different words or more.
+    blocks lists (line, label, containment) of the lines that hold `contained` of a template's different words or more,
+    then of runs of words over line ends that do, by the line of the run's first template word.
     score is 1 with a phrase, else the largest containment found, else 0. Null and empty texts have no words and no
     labels ('' and null places). Repeated rows give equal rows, an empty table an empty result; columns other than
     doc_id and text are ignored.
@@ -137,14 +191,26 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, contained:
         i[i == len(ix.vocabulary)] = 0
         known = ix.vocabulary[i] == h
         rank = ix.rank[i]
-        for x in np.unique(line[known & ix.opens[rank]]).tolist():
+        opening = np.unique(line[known & ix.opens[rank]])
+        hits: list[dict[int, set[int]]] = [{} for _ in range(n)]
+        for x in opening.tolist():
             lo, hi = np.searchsorted(line, [x, x + 1])
             block = np.unique(rank[lo:hi][known[lo:hi]]).tolist()
             t = int(text_of[lo])
-            for label, share in ix.found(block, len(np.unique(h[lo:hi]))):
+            for k, label, share in ix.found(block, len(np.unique(h[lo:hi]))):
                 labels[t].add(label)
                 score[t] = max(score[t], share)
                 blocks[t].append({"line": int(breaks[starts[lo]] - (breaks[at[t] - 1] if at[t] else 0)), "label": label, "containment": share})
+                hits[t].setdefault(k, set()).add(x)
+        for t in np.unique(text_of[known & ix.opens[rank]]).tolist():
+            lo, hi = int(of[t]), int(of[t + 1])
+            if line[lo] == line[hi - 1]:
+                continue
+            some = np.flatnonzero(known[lo:hi]) + lo
+            for x, label, share in ix.wrapped(rank[some], some, line[some], hits[t]):
+                labels[t].add(label)
+                score[t] = max(score[t], share)
+                blocks[t].append({"line": x - t - int(breaks[at[t] - 1] if at[t] else 0), "label": label, "containment": share})
         none = places == 0
         joined = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
         kind = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
