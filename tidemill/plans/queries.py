@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
@@ -320,7 +320,7 @@ def _graph(spark, sf_dir) -> Graph:
 
 
 def _orders_graph(spark, sf_dir) -> Graph:
-    """Customers of the same nation, each linked to the next by key: long chains."""
+    """Nations and their regions: stars."""
     return Graph.from_edges(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst")))
 
 
@@ -350,6 +350,29 @@ def graph_strong_components(spark, sf_dir):
     return _orders_graph(spark, sf_dir).strongly_connected()
 
 
+def _chains_graph(spark, sf_dir) -> Graph:
+    """Customers of the same nation, each linked to the next by key: long chains. In nations of even key the last is linked to the first."""
+    by_key = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    following = F.lead("c_custkey").over(by_key)
+    first = F.when(F.col("c_nationkey") % 2 == 0, F.first("c_custkey").over(by_key))
+    e = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("src"), F.coalesce(following, first).cast("long").alias("dst"))
+    return Graph.from_edges(e.where("dst is not null"))
+
+
+#: Customers with the first and the number of their nation; one alone has an edge only where the chain is closed.
+CHAINS = "(SELECT c_custkey::BIGINT AS id, c_nationkey % 2 = 0 AS closed, min(c_custkey) OVER n::BIGINT AS least, count(*) OVER n AS size FROM customer WINDOW n AS (PARTITION BY c_nationkey))"
+
+
+@query(f"SELECT id, least AS value FROM {CHAINS} WHERE closed OR size > 1")
+def graph_chain_components(spark, sf_dir):
+    return _chains_graph(spark, sf_dir).connected_components()
+
+
+@query(f"SELECT id, CASE WHEN closed THEN least ELSE id END AS component FROM {CHAINS} WHERE closed OR size > 1")
+def graph_chain_strong_components(spark, sf_dir):
+    return _chains_graph(spark, sf_dir).strongly_connected()
+
+
 @query("""WITH e AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS x, greatest(a.l_suppkey, b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_shipdate > b.l_shipdate),
 t AS (SELECT a.x AS p, a.y AS q, b.y AS r FROM e a JOIN e b ON a.y = b.x JOIN e c ON c.x = a.x AND c.y = b.y), v AS (SELECT x AS id FROM e UNION SELECT y FROM e)
 SELECT v.id, count(t.p) AS triangles FROM v LEFT JOIN t ON v.id IN (t.p, t.q, t.r) GROUP BY v.id""")
