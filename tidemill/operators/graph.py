@@ -9,15 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.components import components
-from ..streaming.streams import scratch
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends a loop's growing lineage with a written table that survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import dropped, written
+from .components import components
 
 
 @dataclass
@@ -80,12 +73,12 @@ class Graph:
 
     def pregel(self, start: Column, send: Callable[[Column, Column], Column], combine: Callable[[Column], Column], apply: Callable[[Column, Column], Column], most: int | None = None) -> DataFrame:
         """id, value: each round, messages to dst from value pairs; vertices apply them; ends when no value changes, or after `most` rounds."""
-        values = _cut(self.vertices.select("id", start.alias("value")))
-        edges = _cut(self.edges.select("src", "dst"))
+        values = written(self.vertices.select("id", start.alias("value")))
+        edges = written(self.edges.select("src", "dst"))
         for _ in itertools.count() if most is None else range(most):
             t = edges.join(values.toDF("src", "sv"), "src").join(values.toDF("dst", "dv"), "dst")
             sent = t.select("dst", send(F.col("sv"), F.col("dv")).alias("m")).where("m is not null").groupBy(F.col("dst").alias("id")).agg(combine(F.col("m")).alias("m"))
-            moved = _cut(values.join(sent, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("value")).otherwise(apply(F.col("value"), F.col("m"))).alias("value"), F.col("value").alias("old")))
+            moved = written(values.join(sent, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("value")).otherwise(apply(F.col("value"), F.col("m"))).alias("value"), F.col("value").alias("old")))
             changed = moved.where(~F.col("value").eqNullSafe(F.col("old"))).isEmpty()
             values = moved.select("id", "value")
             if changed:
@@ -103,40 +96,40 @@ class Graph:
         Besides its neighbours' values each vertex takes its value's own, which reaches it as well: values travel further
         every round, and hashes keep long paths in key order from being the worst case.
         """
-        values = _cut(self.vertices.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v")).alias("value")))
-        edges = _cut(self.edges.select("src", "dst"))
+        values = written(self.vertices.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v")).alias("value")))
+        edges = written(self.edges.select("src", "dst"))
         while True:
             near = edges.join(values.toDF("src", "m"), "src").select(F.col("dst").alias("id"), "m")
             far = values.select("id", F.col("value.v").alias("at")).where("id <> at").join(values.toDF("at", "m"), "at").select("id", "m")
             least = near.union(far).groupBy("id").agg(F.min("m").alias("m"))
-            moved = _cut(values.join(least, "id", "left").select("id", F.least("value", F.coalesce("m", "value")).alias("value"), F.col("value").alias("old")))
+            moved = written(values.join(least, "id", "left").select("id", F.least("value", F.coalesce("m", "value")).alias("value"), F.col("value").alias("old")))
             values = moved.select("id", "value")
             if moved.where("value <> old").isEmpty():
                 return values.select("id", F.col("value.v").alias("value"))
 
     def strongly_connected(self) -> DataFrame:
         """id, component (smallest id): forward colours, then backward reach within a colour, until no vertex is left."""
-        left, done = Graph(_cut(self.vertices.select("id")), _cut(self.edges.select("src", "dst").where("src <> dst").distinct())), None
+        left, done = Graph(written(self.vertices.select("id")), written(self.edges.select("src", "dst").where("src <> dst").distinct())), None
         while not left.vertices.isEmpty():
             colour = left._first_above()
             same = left.edges.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "c2"), "dst").where("c = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
             back = Graph(left.vertices, same)._first_above()  # a colour's own vertex is its first, so it is found wherever it can be reached
             root = back.toDF("id", "root").join(colour.toDF("id", "colour"), "id").where("root = colour").select("id", "root")
             least = root.groupBy("root").agg(F.min("id").alias("component"))
-            hit = _cut(root.join(least, "root").select("id", "component"))
+            hit = written(root.join(least, "root").select("id", "component"))
             done = hit if done is None else done.union(hit)
             ids = hit.select("id")
-            left = Graph(_cut(left.vertices.join(ids, "id", "left_anti")), _cut(left.edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti")))
+            left = Graph(written(left.vertices.join(ids, "id", "left_anti")), written(left.edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti")))
         return left.vertices.select("id", F.col("id").alias("component")) if done is None else done
 
     def pagerank(self, rounds: int, reset: float = 0.15) -> DataFrame:
         """id, rank: unnormalised ranks that start at 1."""
         out = self.edges.groupBy("src").agg(F.count("*").alias("n"))
-        weighted = _cut(self.edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")))
+        weighted = written(self.edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")))
         ranks = self.vertices.select("id", F.lit(1.0).alias("rank"))
         for _ in range(rounds):
             sums = weighted.join(ranks.toDF("src", "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("s"))
-            ranks = _cut(self.vertices.select("id").join(sums, "id", "left").select("id", (reset + (1 - reset) * F.coalesce("s", F.lit(0.0))).alias("rank")))
+            ranks = written(self.vertices.select("id").join(sums, "id", "left").select("id", (reset + (1 - reset) * F.coalesce("s", F.lit(0.0))).alias("rank")))
         return ranks
 
     def triangles(self) -> DataFrame:
@@ -145,7 +138,7 @@ class Graph:
         degree = both.select(F.col("a").alias("id")).union(both.select("b")).groupBy("id").agg(F.count("*").alias("n"))
         e = both.join(degree.toDF("a", "na"), "a").join(degree.toDF("b", "nb"), "b")
         low = F.expr("na < nb or (na = nb and a < b)")
-        e = _cut(e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y")))
+        e = written(e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y")))
         wedges = e.toDF("x", "y").join(e.toDF("x", "z"), "x").where("y < z")
         closed = e.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"))
         found = wedges.join(closed, ["y", "z"])

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.mkdtemp()).rstrip('/')}/tidemill/{uuid.uuid4().hex}"
+from ..storage import scratch
 
 
 def union_tagged(streams: dict[str, DataFrame]) -> DataFrame:
