@@ -18,7 +18,7 @@ import corpus_pipeline
 from tidemill.llm import avi, licenses, packing, secrets
 from tidemill.llm.bpe import bpe_digests, encoded
 from tidemill.llm.chat import format_chats, read_back
-from tidemill.llm.components import components
+from tidemill.operators.components import components
 from tidemill.llm.exact_dups import exact_dedup, exact_duplicates
 from tidemill.llm.lattice_lm import Lattice, lm_scores
 from tidemill.llm.licenses import license_scan

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,42 +9,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import dropped, written  # noqa: F401  used throughout the subpackage
+
 
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings into a Python worker."""
+    """Bound what one Arrow batch brings into a Python worker.
+
+    Operators return plans that run later, in the caller's session, so these two options stay set there. They change
+    how many rows travel at a time, never a result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemill_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def dropped(*tables: DataFrame | None) -> None:
-    """Delete written() tables that no later plan reads."""
-    for df in tables:
-        path = getattr(df, "_tidemill_path", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,19 +2,21 @@
 
 The steps, all of them Spark jobs whose state is in written tables:
 
-1. Each text gets its set of word shingles (64-bit hashes), the set's digest and its bottom-k sketch: the k smallest
-   values of one hash function. Texts with equal sets are one *node* from here on.
+1. Each text gets its set of word shingles (64-bit hashes), a 128-bit digest of the set and its bottom-k sketch: the k
+   smallest values of one hash function. Texts with equal sets are one *node* from here on.
 2. Inverted lists of retained values. A pair at the threshold shares 36 of 64 retained values or more but for odds of
    some 10^-6, so each node enters the lists of only its rarest values, in one global order by exact document
-   frequency (prefix filter).
-3. The union sketch (the k smallest values of both) estimates the Jaccard similarity; pairs within five deviations
-   of the threshold link nodes into tentative groups, outside of which no link can be.
-4. Only tentative groups get whole sets. Groups of up to SMALL nodes are settled in one task each; larger ones get
-   prefix lists over the whole sets, with length and positional filters, and exact Jaccard on the pairs left.
-
-Lists are never expanded to all their pairs. Star rounds compare every entry of a list with one centre; entries that
-came into the centre's component leave the list's work, and only entries of *different* components are compared
-afterwards, without any cap.
+   frequency (prefix filter), with ELL more values than one shared value would need.
+3. Overlaps from the lists. A linked pair shares ELL listed values. Short lists (SHORT nodes or less, so that their
+   pairs grow with their entries) give pairs, counted; those with ELL values in common go on to the union sketch (the k
+   smallest values of both), which drops estimates more than five deviations below the threshold. A longer list is
+   never expanded to pairs: its entries are joined to its smallest node as a star. A pair that shares ELL values either
+   shares them all in short lists or meets in a star, so that no link leaves its *tentative group*, a component of these
+   edges. Tentative groups may hold unlinked texts; the next step decides.
+4. Exact similarity. The texts of a tentative group of MOST bytes or less meet in one task, which compares real words:
+   words are numbered through a dictionary, shingles by tuples of numbers, with prefix, length and positional filters.
+   Larger groups repeat steps 2 and 3 on whole sets, where nothing is estimated, and fall apart into small ones; what is
+   still large is linked by star rounds over its lists and, at last, by the pairs of different components that share one.
 """
 
 from __future__ import annotations
@@ -24,36 +26,65 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..storage import settings
 from .common import binaries, dropped, slices, tune, written
-from .components import components
 from .text import GOLD, U, mix, shingle_sets
 
 K = 64  # values in a sketch
 SHARED = 36  # of which a linked pair shares this many at least
 NEAR = 0.55  # estimates from here on are looked into; five deviations below 0.8
+ELL = 8  # values that a linked pair shares in its lists, by lists longer by as many less one
+SHORT = 32  # nodes of a list that is expanded to pairs
+MOST = 8 << 20  # bytes of texts, or of their shingle sets, that meet in one task
+#: Spark's own runtime filter, 8 MB at most, keeps texts outside of tentative groups out of the shuffle. At more documents
+#: than it can tell apart it lets more texts pass, and the results stay the same.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1m",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "40000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(8 * (8 << 20)),
+}
+
 
+def _digest(values: np.ndarray) -> tuple[int, int]:
+    d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
-def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, node (null for texts without words), sketch (sorted values, 8 bytes each)."""
+
+def row_key() -> Column:
+    """A row's key for finding its text again: doc_id, or a hash of the text where that is null."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, key, text_hash, size (bytes), n_shingles, hi, lo (digest; null for texts without words), sketch (sorted values, 8 bytes each)."""
+    names = ["doc_id", "key", "text_hash", "size", "n_shingles", "hi", "lo", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in slices(batch.column(1)):
+            for lo, hi, data, at in slices(batch.column(4)):
                 sets = shingle_sets(data, at, width)
-                nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), binaries([s[:K].tobytes() if len(s) else None for s in sets])],
-                    ["doc_id", "n_shingles", "node", "sketch"],
-                )
+                digests = [_digest(s) if len(s) else (None, None) for s in sets]
+                cols = [batch.column(c).slice(lo, hi - lo) for c in range(4)]
+                cols += [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*cols, binaries([s[:K].tobytes() if len(s) else None for s in sets])], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.select("doc_id", row_key().alias("key"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, text_hash long, size long, n_shingles long, hi long, lo long, sketch binary")
 
 
-def _prefixes(nodes: DataFrame, column: str, length: str, group: bool = False) -> DataFrame:
-    """v, node, n, pos: entries of the inverted lists. length: SQL for the entries of a node that go in, from n and held."""
+def _entries(nodes: DataFrame, column: str, shared: str, group: bool = False) -> DataFrame:
+    """v, df, node, n, ell, pos: entries of the inverted lists, from node, n and the values in `column`.
+
+    shared: SQL for how many of its `held` values a node has in common with any node it is linked to. Values of one node
+    alone link nothing and rank before all others, so that only their number counts. group: lists are apart by label.
+    """
 
     def run(batches):
         for batch in batches:
@@ -67,71 +98,41 @@ def _prefixes(nodes: DataFrame, column: str, length: str, group: bool = False) -
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(held).take(of)], ["v", "node", "n", "held"])
 
     values = nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(run, "v long, node long, n long, held long")
-    # a value of one node alone links nothing and ranks before all others, so that its number is enough
     often = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     ranked = values.join(often.hint("merge"), "v").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    ranked = ranked.withColumn("alone", F.col("held") - F.size("vs")).withColumn("take", F.expr(f"cast(greatest(0, {length} - alone) as int)"))
-    entries = ranked.select("node", "n", "alone", F.posexplode(F.expr("slice(vs, 1, take)")).alias("i", "x"))
-    return entries.select("x.v", "node", "n", (F.col("alone") + F.col("i")).alias("pos"))
-
-
-def _search(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, rounds: int, whole: bool) -> DataFrame | None:
-    """node, label: components of the confirmed links among pairs that share a list; None without links.
-
-    whole: the lists come from whole sets, so that the first value that a pair shares must leave enough to share.
-    """
-    lists = written(lists)
-    several = written(lists.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("v"))
-    entries, lists = lists, written(lists.join(several.hint("merge"), "v"))
-    dropped(entries, several)
-    compatible = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    if whole:
-        compatible += "".join(f" and pos{i} <= n{i} - cast(ceil({percent} * (n + n2) / {100 + percent}) as long)" for i in ("", "2"))
-    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    labels, live = None, lists
-    for r in range(rounds + 1):
-        if labels is not None:
-            named = written(live.select("v", "node", "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        else:
-            named = live.select("v", "node", "n", "pos", F.col("node").alias("label"))
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))).alias("c")
-        centres = named.groupBy("v").agg(centre, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v", "c.node2", "c.n2", "c.pos2", "c.label2")
-        centres = written(centres)
-        if centres.isEmpty():
-            break
-        if r < rounds:
-            pairs = named.join(centres, "v").where("label <> label2").where(compatible)
-        else:  # what is left: all pairs of different components
-            left = written(named.join(centres.select("v"), "v"))
-            pairs = left.join(left.toDF("v", *[f"{c}2" for c in left.columns[1:]]), "v").where("label < label2").where(compatible)
-        links = written(confirm(pairs.select(*pair).distinct()))
-        if not links.isEmpty():
-            old = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
-            for x in old:
-                links = links.union(x)
-            labels = components(links)
-        live = named
-    return labels
-
-
-def _brief(nodes: DataFrame) -> DataFrame:
-    """node and the upper half of each sketch value, in the same order."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), binaries([(np.frombuffer(x, U) >> U(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()])], ["node", "brief"])
-
-    return nodes.select("node", "sketch").mapInArrow(run, "node long, brief binary")
+    ranked = ranked.withColumn("alone", F.col("held") - F.size("vs")).withColumn("shared", F.expr(shared)).withColumn("ell", F.expr(f"least({ELL}, shared)"))
+    ranked = ranked.withColumn("take", F.expr("cast(greatest(0, held - shared + ell - alone) as int)"))
+    entries = ranked.select("node", "n", "ell", "alone", F.posexplode(F.expr("slice(vs, 1, take)")).alias("i", "x"))
+    out = written(entries.select("x.v", "x.df", "node", "n", "ell", (F.col("alone") + F.col("i")).alias("pos")))
+    dropped(often)
+    return out
+
+
+def _tentative(entries: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """node, label: components of the pairs with ell entries in common, and of the stars over long lists."""
+    near = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)"
+    pair = "struct(least(p.node, q.node) as a, greatest(p.node, q.node) as b, least(p.ell, q.ell) as ell)"
+    pairs = f"flatten(transform(xs, (p, i) -> transform(filter(slice(xs, i + 2, {SHORT}), q -> {near}), q -> {pair})))"
+    lists = entries.where(F.col("df") <= SHORT).groupBy("v").agg(F.collect_list(F.struct("node", "n", "ell")).alias("xs")).where("size(xs) > 1")
+    found = lists.select(F.explode(F.expr(pairs)).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("ell").alias("ell")).where("c >= ell").select("a", "b")
+    if confirm:
+        found = confirm(written(found))
+    long = entries.where(F.col("df") > SHORT)
+    centres = written(long.groupBy("v").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("v", "b"))
+    stars = long.join(centres, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return components(found.union(stars))
 
 
 def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs whose union sketch estimates NEAR or more."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.frombuffer(x + y, np.uint32) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = [np.frombuffer(x + y, U) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             size = np.array([len(x) for x in rows])
-            both = np.full((len(rows), 2 * K), np.uint32(0xFFFFFFFF))
+            both = np.full((len(rows), 2 * K), ~U(0))
             for i, x in enumerate(rows):
                 both[i, : len(x)] = x
             both.sort(axis=1)
@@ -144,147 +145,316 @@ def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
             yield batch.select([0, 1]).filter(pa.array(hits >= NEAR * k))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x, y = (sketched.select(F.col("node").alias(c), F.col("brief").alias(f"s{c}")) for c in "ab")
+        x, y = (sketched.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
     return confirm
 
 
-def _exact(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, label, hi, lo, text of the rows in wanted (key, node, label, hi, lo); other texts under the same key come along."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(row_key().alias("key"), "text")
+    return texts.join(wanted.hint("merge"), "key").select("node", "label", "hi", "lo", "text")
+
+
+def exact_links(texts: list[bytes], width: int, percent: int) -> np.ndarray:
+    """For each text the index of the first text of its component; real words and shingles are compared, no hashes."""
+    number: dict[bytes, int] = {}
+    codes, sizes, short = [], [], {}
+    for i, t in enumerate(texts):
+        words = [number.setdefault(w, len(number)) for w in t.lower().split()]
+        sizes.append(len(words))
+        if 0 < len(words) < width:
+            short.setdefault(tuple(words), []).append(i)
+        codes.append(np.array(words, np.int64))
+    label = np.arange(len(texts))
+    for same in short.values():  # one shingle each, equal or disjoint
+        label[same] = same[0]
+    sizes, flat = np.array(sizes), np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    run, most = flat, max(1, len(number))
+    for j in range(1, width):
+        _, run = np.unique(run[:-1] * most + flat[j:], return_inverse=True)
+    if len(flat) < width:
+        return label
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    spots = [np.arange(at[i], at[i + 1] - width + 1) for i in range(len(texts))]
+    owner = np.repeat(np.arange(len(texts)), [len(s) for s in spots])
+    key = np.unique(owner * (int(run.max()) + 1) + run[np.concatenate(spots)]) if len(owner) else np.zeros(0, np.int64)
+    owner, shingle = np.divmod(key, int(run.max()) + 1)
+    return _linked(owner, shingle, len(texts), label, percent)
+
+
+def _linked(owner: np.ndarray, shingle: np.ndarray, texts: int, label: np.ndarray, percent: int) -> np.ndarray:
+    """Components among sets (owner, shingle; sorted by owner) by a prefix-filtered join in order of size.
+
+    Only texts of other components are compared, newest component first, so that in a group of copies each text needs
+    few comparisons. The rank of a shingle is by frequency, rarest first.
+    """
+    n = np.bincount(owner, minlength=texts)
+    often = np.bincount(shingle)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ranked = rank[shingle]
+    order = np.lexsort((ranked, owner))
+    ranked = ranked[order]
+    at = np.concatenate([[0], np.cumsum(n)])
+    alone = often[np.argsort(often, kind="stable")] < 2  # by rank
+    parent = label.tolist()
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    lists: dict[int, list[int]] = {}
+    places: dict[int, list[int]] = {}
+    for i in np.lexsort((np.arange(texts), n)).tolist():
+        size = int(n[i])
+        if not size:
+            continue
+        own = ranked[at[i] : at[i + 1]]
+        probe = size - -(-percent * size // 100) + 1
+        seen: set[int] = set()
+        for pos, r in enumerate(own[:probe].tolist()):
+            if alone[r] or r not in lists:
+                continue
+            for j, there in zip(lists[r], places[r]):
+                if j in seen or 100 * n[j] < percent * size:
+                    continue
+                need = -(-percent * (size + int(n[j])) // (100 + percent))
+                if min(size - pos, int(n[j]) - there) < need:
+                    continue
+                seen.add(j)
+        while seen:
+            mine, open_ = top(i), {}
+            for j in seen:
+                if (t := top(j)) != mine:
+                    open_.setdefault(t, []).append(j)
+            if not open_:
+                break
+            seen = set()
+            for js in open_.values():
+                j = js.pop()
+                other = ranked[at[j] : at[j + 1]]
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * shared >= percent * (size + len(other) - shared):
+                    a, b = sorted((top(i), top(j)))
+                    parent[b] = a
+                else:
+                    seen.update(js)
+        index = size - -(-2 * percent * size // (100 + percent)) + 1  # later sets are as large or larger
+        for pos, r in enumerate(own[:index].tolist()):
+            if not alone[r]:
+                lists.setdefault(r, []).append(i)
+                places.setdefault(r, []).append(pos)
+    return np.array([top(i) for i in range(texts)])
+
+
+def _within(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, label of small tentative groups from rows (node, label, hi, lo, text) in order of label, one group at a time."""
+
+    def settled(group: list[tuple]) -> pa.RecordBatch:
+        texts = {}
+        for node, _, hi, lo, text in group:
+            if node not in texts:
+                data = np.frombuffer(text, np.uint8)
+                if _digest(shingle_sets(data, np.array([0, len(data)]), width)[0]) == (hi, lo):
+                    texts[node] = text
+        nodes = np.array(list(texts), np.int64)
+        first = exact_links(list(texts.values()), width, percent)
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, first, nodes)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least[first])], ["node", "label"])
+
     def run(batches):
+        group: list[tuple] = []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            columns = [batch.column(c).to_pylist() for c in range(4)] + [batch.column(4).cast(pa.binary()).to_pylist()]
+            for row in zip(*columns, strict=True):
+                if group and group[0][1] != row[1]:
+                    yield settled(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield settled(group)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return run
 
-    return confirm
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, label, n, shingles, checks: whole sets by two independent hash functions of words, once for each node."""
+
+    def run(batches):
+        for batch in batches:
+            node, label, hi, lo = (batch.column(c).to_pylist() for c in range(4))
+            for first, end, data, at in slices(batch.column(4)):
+                one, two = (shingle_sets(data, at, width, seed) for seed in (0, 1))
+                rows = [(node[first + i], label[first + i], len(s), s.tobytes(), c.tobytes()) for i, (s, c) in enumerate(zip(one, two, strict=True)) if _digest(s) == (hi[first + i], lo[first + i])]
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "label", "n", "shingles", "checks"])
+
+    return texts.mapInArrow(run, "node long, label long, n long, shingles binary, checks binary").dropDuplicates(["node"])
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, label, size, shingles of the documents in wanted (doc_id, node, label, size)."""
+
+def _exact(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs that are linked, under both hash functions."""
 
     def run(batches):
+        def linked(x: bytes, y: bytes) -> bool:
+            a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            return 100 * shared >= percent * (len(a) + len(b) - shared)
+
         for batch in batches:
-            for lo, hi, data, at in slices(batch.column(0)):
-                sets = shingle_sets(data, at, width)
-                node, label, size = (batch.column(c).slice(lo, hi - lo) for c in (1, 2, 3))
-                same = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == x for s, x in zip(sets, node.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in sets], pa.int64()), label, size, binaries([s.tobytes() for s in sets])], ["node", "n", "label", "size", "shingles"]).filter(pa.array(same, pa.bool_()))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted.hint("merge"), "doc_id").select("text", "node", "label", "size").mapInArrow(run, "node long, n long, label long, size long, shingles binary")
-
-
-def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """For one small tentative group (node, shingles): node and component, from the overlaps of whole sets."""
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(code, kind="stable")
-        posted, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
-        first = np.concatenate([[0], np.cumsum(size)])
-        label, waiting = np.full(len(nodes), -1), np.ones(len(nodes), bool)
-        for seed in range(len(nodes)):
-            queue = [seed] if waiting[seed] else []
-            while queue:
-                i = queue.pop()
-                waiting[i], label[i] = False, seed
-                own = code[first[i] : first[i + 1]]
-                shared = np.bincount(np.concatenate([posted[start[c] : start[c + 1]] for c in own]), minlength=len(nodes))
-                linked = np.flatnonzero(waiting & (100 * shared >= percent * (size + size[i] - shared)))
-                waiting[linked] = False
-                queue += linked.tolist()
-        least = np.full(len(nodes), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, nodes)
-        return pa.table({"node": nodes, "label": least[label]})
+            keep = [linked(a, b) and linked(c, d) for a, b, c, d in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    def confirm(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("checks").alias(f"c{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "ca", "cb").mapInArrow(run, "a long, b long")
 
+    return confirm
 
-#: Spark's own runtime filter, 8 MB at most, keeps texts outside of tentative groups out of the shuffle. At more documents
-#: than it can tell apart it lets more texts pass, and the results stay the same.
-BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1m",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "40000000",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(8 * (8 << 20)),
-}
-SMALL = 200  # nodes of a tentative group that one task looks into
 
+def _by_rounds(sets: DataFrame, percent: int, rounds: int = 12) -> DataFrame:
+    """node, label of texts whose tentative group is too large for a task, by stars over the lists of whole sets.
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+    Each round compares every entry of a list with one centre, another one each time, and merges what is linked. It ends
+    once the pairs of different components are fewer than eight for each entry, or after `rounds`; these pairs are then
+    compared one by one, without any cap. Positions limit an entry to lists in which it can still be linked.
+    """
+    sure = f"cast(ceil({percent} * n / 100) as long)"
+    lists = _entries(sets, "shingles", sure, True)
+    compatible = f"100 * least(n, n2) >= {percent} * greatest(n, n2)" + "".join(f" and pos{i} <= n{i} - cast(ceil({percent} * (n + n2) / {100 + percent}) as long)" for i in ("", "2"))
+    confirm, labels = _exact(sets, percent), None
+    (total,) = lists.agg(F.count("*")).first()
+    for r in range(rounds + 1):
+        named = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = written(named.select("v", "node", "n", "pos", "label"))
+        per = named.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("labels")).where("labels > 1")
+        open_ = written(per.select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")))
+        left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if not left:
+            break
+        live = written(named.join(open_.select("v"), "v"))
+        last = r == rounds or left <= 8 * total
+        if last:
+            pairs = live.join(live.toDF("v", *[f"{c}2" for c in live.columns[1:]]), "v").where("label < label2").where(compatible)
+        else:
+            centre = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))).alias("c")
+            centres = written(live.groupBy("v").agg(centre).select("v", "c.node2", "c.n2", "c.pos2", "c.label2"))
+            pairs = live.join(centres, "v").where("label <> label2").where(compatible)
+        links = written(confirm(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()))
+        if not links.isEmpty():
+            labels = components(links if labels is None else links.union(labels.where("node <> label").select("node", "label")))
+        dropped(named, open_, live)
+        if last:
+            break
+    dropped(lists)
+    return sets.select("node", F.col("node").alias("label")).limit(0) if labels is None else labels
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
     Two texts are linked if 100 * shared shingles >= percent * shingles of either; percent must be 80 or more, for
     which the sketch's margins are set. component_id is the smallest doc_id reachable over links, kept whether it is
     the row's own. Null and empty texts, and texts of white space only, have no shingles and stand alone. Repeated
-    rows share a component. A row whose doc_id is null is linked like any other; if no row of its component has an
-    id, component_id is null; such rows are kept only when standing alone. An empty table gives an empty result.
+    rows share a component, and each is kept if its doc_id is. A row whose doc_id is null is linked like any other; if
+    no row of its component has an id, component_id is null and all its rows are marked kept. An empty table gives an
+    empty result. most: bytes of texts that one task may hold to compare them.
     """
+    return _components(docs, width, percent, most).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def _components(docs: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """doc_id, text_hash, size, n_shingles, component_id, component (null for texts without words) for every row of docs."""
     if percent < 80:
         raise ValueError("percent must be at least 80")
     spark = docs.sparkSession
     tune(spark)
-    for key, value in BLOOM.items():
-        spark.conf.set(key, value)
     rows = written(sketches(docs, width))
-    nodes = written(
-        rows.where("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    nodes = rows.where("hi is not null").groupBy("hi", "lo").agg(
+        F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("size").alias("size"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
     )
-    (texts,) = nodes.agg(F.sum("copies")).first()
-    labels = None
-    if texts:
-        sure = f"cast(ceil({percent} * n / 100) as long)"  # shared by any linked pair
-        cut = f"held - if(100 * n > {percent * K}, least({sure}, {SHARED}), {sure}) + 1"
-        brief = written(_brief(nodes))
-        tentative = _search(_prefixes(nodes, "sketch", cut), _estimated(brief), percent, rounds, False)
-        dropped(brief)
-        if tentative is not None:
-            sizes = written(tentative.groupBy("label").agg(F.count("*").alias("size")))
-            wanted = written(nodes.join(tentative, "node").join(sizes, "label").where("doc_id is not null").select("doc_id", "node", "label", "size")).where("size > 1")
-            again = rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1")
-            once = (lambda sets: sets) if again.isEmpty() else (lambda sets: sets.dropDuplicates(["node"]))  # rows that repeat a doc_id
-            # the texts are read and dealt out once, for groups of either size
-            sets = written(once(_whole_sets(docs, wanted, width)))
-            small, large = sets.where(F.col("size") <= SMALL), sets.where(F.col("size") > SMALL)
-            labels = small.select("node", "label", "shingles").groupBy("label").applyInArrow(_within(percent), "node long, label long")
-            if not large.isEmpty():
-                found = _search(_prefixes(large, "shingles", f"held - {sure} + 1", True), _exact(large, percent), percent, rounds, True)
-                labels = labels if found is None else labels.union(found)
-    named = nodes.select("node", "doc_id", "copies")
-    if labels is not None:
-        named = written(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        least = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-        named = written(named.join(least, "label").select("node", "component_id", "copies"))
-    else:
-        named = named.withColumnRenamed("doc_id", "component_id")
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))  # numbers stand once written
+    sure = f"cast(ceil({percent} * n / 100) as long)"  # shared by any linked pair
+    entries = _entries(nodes, "sketch", f"if(100 * n > {percent * K}, least({sure}, {SHARED}), {sure})")
+    tentative = _tentative(entries, percent, _estimated(nodes))
+    dropped(entries)
+    member = nodes.select("node", "key", "hi", "lo", F.greatest("size", F.col("n") * 8).alias("bytes")).join(tentative, "node")
+    member = written(member)
+    sizes = written(member.groupBy("label").agg(F.sum("bytes").alias("bytes")))
+    wanted = written(member.join(sizes.withColumnRenamed("bytes", "total"), "label").select("key", "node", "label", "hi", "lo", (F.col("total") <= most).alias("small")))
+    labels = _settled(docs, wanted, width, percent, most)
+    dropped(member, sizes, wanted, tentative)
+    named = written(nodes.select("node", "hi", "lo", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    named = written(named.join(least, "label").select("hi", "lo", "label", "component_id", "copies"))
     # nodes with a thousandth of the rows or more, a thousand at most, are joined by broadcast
-    often = F.col("copies") >= max(1000, (texts or 0) // 1000)
-    many = named.where(often).select("node", "component_id")
-    few = named.where(~often).select("node", "component_id")
-    hot = rows.join(F.broadcast(many.withColumnRenamed("component_id", "c")), "node", "left").select("doc_id", "n_shingles", "node", "c")
-    joined = hot.where("c is null").join(few, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = joined.union(hot.where("c is not null").select("doc_id", "n_shingles", "c"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    (texts,) = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()
+    often = F.col("copies") >= max(1000, texts // 1000)
+    many = named.where(often).select("hi", "lo", F.col("label").alias("l"), F.col("component_id").alias("c"))
+    few = named.where(~often).select("hi", "lo", "label", "component_id")
+    rows = rows.drop("key", "sketch")
+    columns = ["doc_id", "text_hash", "size", "n_shingles"]
+    hot = rows.join(F.broadcast(many), ["hi", "lo"], "left")
+    rest = hot.where("l is null").select(*columns, "hi", "lo").join(few, ["hi", "lo"], "left")
+    rest = rest.select(*columns, F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("label").alias("component"))
+    return rest.union(hot.where("l is not null").select(*columns, "c", "l"))
+
+
+def _settled(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """node, label: the components of linked texts in tentative groups."""
+    form = "node long, label long"
+    together = lambda texts: texts.repartition("label").sortWithinPartitions("label").mapInArrow(_within(width, percent), form)
+    large = not wanted.where("not small").isEmpty()
+    with settings(docs.sparkSession, BLOOM):
+        texts = _texts(docs, wanted.where("small") if not large else wanted)
+        if not large:
+            return written(together(texts))
+        texts = written(texts)
+    small = wanted.where("small").select("node")
+    labels = written(together(texts.join(small.hint("merge"), "node")))
+    rest = texts.join(wanted.where("not small").select("node").hint("merge"), "node")
+    sets = written(_sets(rest, width))
+    entries = _entries(sets, "shingles", f"cast(ceil({percent} * n / 100) as long)", True)
+    found = _tentative(entries, percent, None)
+    dropped(entries)
+    bytes_of = F.greatest(F.sum(F.col("n") * 8), F.sum("size"))
+    lengths = rest.groupBy("node").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    sizes = written(sets.select("node", "n").join(lengths, "node").join(found, "node").groupBy("label").agg(bytes_of.alias("bytes")))
+    again = written(found.join(sizes, "label").select("node", "label", (F.col("bytes") <= most).alias("small")))
+    labels = labels.union(written(together(rest.drop("label").join(again.where("small").select("node", "label").hint("merge"), "node").select("node", "label", "hi", "lo", "text"))))
+    huge = again.where("not small").select("node", "label")
+    if not huge.isEmpty():
+        labels = labels.union(_by_rounds(written(sets.drop("label").join(huge, "node")), percent))
+    return labels
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that a near duplicate with a smaller doc_id stands for; columns unchanged."""
-    gone = written(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """docs with one row of each group of near duplicates, columns unchanged: the one with the smallest doc_id.
+
+    Null ids come after all others; of rows of one group that share the smallest id the one with the smaller hash of its
+    text stays, of rows that repeat id and text one. Rows without words (null, empty or white space) all stay. A row is
+    told apart by id and text: another text under the id of a row that goes is no part of its group and stays. An empty
+    table gives an empty result.
+    """
+    found = written(_components(docs, width, percent, MOST).where("component is not null").select("doc_id", "text_hash", "size", "component"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "size")
+    best = found.groupBy("component").agg(F.min(key).alias("best"), F.max(key).alias("last"), F.count("*").alias("c")).where("c > 1")
+    several = written(found.join(best, "component").withColumn("stays", key.eqNullSafe(F.col("best"))))
+    gone = written(several.where("not stays").select("doc_id", "text_hash", "size").distinct())
+    repeated = written(several.where("stays").groupBy("doc_id", "text_hash", "size").count().where("count > 1").drop("count"))
+    dropped(found, several)
+    id_, text = docs["doc_id"].cast("long"), docs["text"]
+
+    def matched(other: DataFrame) -> Column:
+        return id_.eqNullSafe(other["doc_id"]) & (F.xxhash64(text) == other["text_hash"]) & (F.octet_length(text) == other["size"])
+
+    if repeated.isEmpty():
+        return docs.join(gone, matched(gone), "left_anti")
+    once = docs.join(repeated, matched(repeated), "left_anti").join(gone, matched(gone), "left_anti")
+    return once.unionByName(docs.join(repeated, matched(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U = np.uint64
@@ -28,19 +26,9 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
-BYTE = mix(np.arange(1, 257, dtype=U) * GOLD)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(int(BASE), -1, 1 << 64)
-    up, down = np.full(n, BASE, U), np.full(n, U(inverse), U)
-    up[0] = down[0] = U(1)
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(n).bit_length()))
+#: Keeps the first n bytes of a little-endian 8-byte chunk.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+BLOCK = 1 << 19  # words hashed at once: what a very long text needs beyond its own bytes stays bounded
 
 
 def spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,12 +45,30 @@ def spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from prefix sums of a polynomial."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * GOLD)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: each 8-byte chunk is mixed with its place, the sum with the length."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    salt, out = U(mix(np.array([seed], U))[0]), np.empty(len(starts), U)
+    for lo in range(0, len(starts), BLOCK):
+        first, size = starts[lo : lo + BLOCK], (ends - starts)[lo : lo + BLOCK]
+        chunks = np.maximum(1, (size + 7) >> 3)
+        if chunks.max() == 1:
+            h = windows[first].view(U).ravel() & _FIRST[size]
+            h = mix(mix(h) + GOLD + salt)
+        elif chunks.sum() > 4 * BLOCK and len(first) > 1:  # long words: fewer at once
+            half = len(first) // 2
+            out[lo : lo + half] = span_hashes(data, first[:half], first[:half] + size[:half], seed)
+            out[lo + half : lo + len(first)] = span_hashes(data, first[half:], first[half:] + size[half:], seed)
+            continue
+        else:
+            before = np.cumsum(chunks) - chunks
+            nth = np.arange(chunks.sum()) - np.repeat(before, chunks)
+            left = np.minimum(8, np.repeat(size, chunks) - 8 * nth)
+            h = windows[np.repeat(first, chunks) + 8 * nth].view(U).ravel() & _FIRST[left]
+            h = np.add.reduceat(mix(mix(h) + (nth + 1).astype(U) * GOLD + salt), before)
+        out[lo : lo + BLOCK] = mix(h + size.astype(U) * MIX1)
+    return out
 
 
 def hash_of(word: str) -> int:
@@ -70,11 +76,11 @@ def hash_of(word: str) -> int:
     return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> list[np.ndarray]:
     """For each text its sorted distinct word shingles as hashes; a shorter text's whole sequence is one shingle."""
     data = LOWER[data]
     starts, ends, of = spans(data, at, SPACES)
-    h = span_hashes(data, starts, ends)
+    h = span_hashes(data, starts, ends, seed)
     run, short = mix(h + GOLD), {}
     for j in range(1, width):
         short |= {int(i): run[of[i]] ^ U(j) for i in np.flatnonzero(np.diff(of) == j)}
