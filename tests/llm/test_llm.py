@@ -5,6 +5,7 @@ import math
 import os
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -25,6 +26,7 @@ from tidemill.llm.licenses import license_scan
 from tidemill.llm.near_dups import near_dedup, near_duplicates
 from tidemill.llm.quality import quality_filter, quality_scores
 from tidemill.llm.queries import ORACLE, QUERIES
+from tidemill.llm.text import shingle_sets
 
 SF = "/root/testdata/sf0.001"
 BPE, WORD, PIECES = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
@@ -78,15 +80,57 @@ def test_near_duplicates(spark, docs, none):
         for k in r.choice(150, r.integers(0, 14), replace=False):
             w[k] = f"e{i}_{k}"
         rows.append((i, " ".join(w)))
-    got = listed(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id")
-    assert got == sorted(near_by_force(rows, 2), key=repr)
-    assert near_dedup(docs).columns == docs.columns and near_dedup(docs).where("doc_id = 8").count() == 0
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), sorted(near_by_force(rows, 2), key=repr)
+    for most in (1 << 22, 60_000, 9_000):  # one task, a group of its own blocks, many blocks
+        assert listed(near_duplicates(df, 2, 80, most), "doc_id", "n_shingles", "component_id") == want
+    out = near_dedup(docs)
+    assert out.columns == docs.columns and out.where("doc_id = 8").count() == 0 and near_dedup(none).count() == 0
+
+
+def test_near_dedup_tells_rows_apart(spark):
+    rows = [(3, PROSE), (5, PROSE + " x"), (5, "another text"), (7, "one two"), (None, PROSE + " y"), (None, "lone"), (None, "lone"), (9, None), (9, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component int")
+    assert listed(near_duplicates(df), "doc_id", "n_shingles", "component_id") == sorted(near_by_force(rows, 5), key=repr)
+    assert listed(near_dedup(df), "doc_id", "text") == sorted([(3, PROSE), (5, "another text"), (7, "one two"), (None, "lone"), (9, None), (9, None)], key=repr)
+
+
+def test_words_of_equal_structure_differ(spark):
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - x for x in bits]
+    rows = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["component_id"] for r in near_duplicates(df).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_shingles_of_a_very_long_text():
+    data = np.frombuffer(b"word and some more text here, " * ((64 << 20) // 30), np.uint8)
+    tracemalloc.start()
+    (found,) = shingle_sets(data, np.array([0, len(data)]), 5)
+    assert len(found) == 6 and tracemalloc.get_traced_memory()[1] < 16 * len(data)
+    tracemalloc.stop()
+
+
+def test_borderline_pairs_are_found(spark):
+    """Pairs whose similarity is the threshold or just above, among texts longer than a sketch."""
+    r, rows = np.random.default_rng(11), []
+    for i in range(150):
+        n = int(r.integers(120, 400))
+        shared = [f"s{i}_{k}" for k in range(n)]
+        extra = int(0.25 * (n - 1))  # one-word shingles: n / (n + extra) is 0.8 or a little more
+        rows += [(2 * i, " ".join(shared + [f"a{i}_{k}" for k in range(extra // 2)])), (2 * i + 1, " ".join(shared + [f"b{i}_{k}" for k in range(extra - extra // 2)]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).where("not kept").count()
+    assert got == 150
 
 
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     got = dict(listed(components(spark.createDataFrame(path, "a long, b long")), "node", "label"))
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+    for edges in ([(i, i + 1) for i in range(1000)], [(i, 1000) for i in range(1000)], [((i * 389) % 1001, ((i + 1) * 389) % 1001) for i in range(1000)]):
+        rounds = []
+        got = components(spark.createDataFrame(edges, "a long, b long"), rounds)
+        assert got.where("label = 0").count() == 1001 and sum(rounds) <= 20
 
 
 def test_lm(docs, none):

@@ -15,8 +15,10 @@ The steps, all of them Spark jobs whose state is in written tables:
    edges. Tentative groups may hold unlinked texts; the next step decides.
 4. Exact similarity. The texts of a tentative group of MOST bytes or less meet in one task, which compares real words:
    words are numbered through a dictionary, shingles by tuples of numbers, with prefix, length and positional filters.
-   Larger groups repeat steps 2 and 3 on whole sets, where nothing is estimated, and fall apart into small ones; what is
-   still large is linked by star rounds over its lists and, at last, by the pairs of different components that share one.
+   Larger groups repeat steps 2 and 3 on whole sets, where nothing is estimated, and fall apart. What is still large is
+   dealt out in blocks, each with the same few texts of the group as pivots, which merge a group of copies across its
+   blocks. The texts outside of the group's largest component are then a query set: in blocks, they are compared with all
+   blocks of the group. No task holds more than about MOST bytes, and no pair of one component is compared.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ SHARED = 36  # of which a linked pair shares this many at least
 NEAR = 0.55  # estimates from here on are looked into; five deviations below 0.8
 ELL = 8  # values that a linked pair shares in its lists, by lists longer by as many less one
 SHORT = 32  # nodes of a list that is expanded to pairs
-MOST = 8 << 20  # bytes of texts, or of their shingle sets, that meet in one task
+MOST = 4 << 20  # bytes of texts, or of their shingle sets, that meet in one task
 #: Spark's own runtime filter, 8 MB at most, keeps texts outside of tentative groups out of the shuffle. At more documents
 #: than it can tell apart it lets more texts pass, and the results stay the same.
 BLOOM = {
@@ -157,8 +159,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.hint("merge"), "key").select("node", "label", "hi", "lo", "text")
 
 
-def exact_links(texts: list[bytes], width: int, percent: int) -> np.ndarray:
-    """For each text the index of the first text of its component; real words and shingles are compared, no hashes."""
+def exact_links(texts: list[bytes], width: int, percent: int, known: list | None = None) -> np.ndarray:
+    """For each text the index of the first text of its component; real words and shingles are compared, no hashes.
+
+    known: components found before, by any name (None: none); texts of one of them are not compared with each other.
+    """
     number: dict[bytes, int] = {}
     codes, sizes, short = [], [], {}
     for i, t in enumerate(texts):
@@ -167,9 +172,14 @@ def exact_links(texts: list[bytes], width: int, percent: int) -> np.ndarray:
         if 0 < len(words) < width:
             short.setdefault(tuple(words), []).append(i)
         codes.append(np.array(words, np.int64))
-    label = np.arange(len(texts))
+    label, named = np.arange(len(texts)), {}
+    for i, k in enumerate(known or ()):
+        if k is not None:
+            label[i] = named.setdefault(k, i)
     for same in short.values():  # one shingle each, equal or disjoint
-        label[same] = same[0]
+        to = min(label[same])
+        for x in {int(x) for x in label[same]}:
+            label[label == x] = to
     sizes, flat = np.array(sizes), np.concatenate(codes) if codes else np.zeros(0, np.int64)
     run, most = flat, max(1, len(number))
     for j in range(1, width):
@@ -252,17 +262,17 @@ def _linked(owner: np.ndarray, shingle: np.ndarray, texts: int, label: np.ndarra
 
 
 def _within(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """node, label of small tentative groups from rows (node, label, hi, lo, text) in order of label, one group at a time."""
+    """node, label from rows (node, label, hi, lo, known, text) in order of label, one group in memory at a time."""
 
     def settled(group: list[tuple]) -> pa.RecordBatch:
-        texts = {}
-        for node, _, hi, lo, text in group:
+        texts, known = {}, {}
+        for node, _, hi, lo, component, text in group:
             if node not in texts:
                 data = np.frombuffer(text, np.uint8)
                 if _digest(shingle_sets(data, np.array([0, len(data)]), width)[0]) == (hi, lo):
-                    texts[node] = text
+                    texts[node], known[node] = text, component
         nodes = np.array(list(texts), np.int64)
-        first = exact_links(list(texts.values()), width, percent)
+        first = exact_links(list(texts.values()), width, percent, list(known.values()))
         least = np.full(len(nodes), np.iinfo(np.int64).max)
         np.minimum.at(least, first, nodes)
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least[first])], ["node", "label"])
@@ -270,7 +280,7 @@ def _within(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches):
         group: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(4)] + [batch.column(4).cast(pa.binary()).to_pylist()]
+            columns = [batch.column(c).to_pylist() for c in range(5)] + [batch.column(5).cast(pa.binary()).to_pylist()]
             for row in zip(*columns, strict=True):
                 if group and group[0][1] != row[1]:
                     yield settled(group)
@@ -282,78 +292,56 @@ def _within(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _together(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, label: each label's texts meet in one task. texts: node, label, hi, lo, text and, if any, known."""
+    known = F.col("known") if "known" in texts.columns else F.lit(None).cast("long").alias("known")
+    rows = texts.select("node", "label", "hi", "lo", known, "text").repartition("label").sortWithinPartitions("label")
+    return written(rows.mapInArrow(_within(width, percent), "node long, label long"))
+
+
+def _in_blocks(texts: DataFrame, groups: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """node, label of groups (node, label, bytes) that are too large for a task; texts: node, hi, lo, text."""
+    part = max(1, most // 2)
+    total = groups.groupBy("label").agg(F.sum("bytes").alias("total"))
+    rows = written(groups.join(total, "label").withColumn("blocks", F.ceil(F.col("total") / part).cast("int")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # a quarter of `most` as pivots, chosen by hash
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (most // 4) / F.col("total")
+    cells = rows.select("node", F.explode(F.when(pivot, every).otherwise(F.array(block))).alias("block"), "label")
+    cell = F.xxhash64("label", "block").alias("label")
+    found = _together(texts.join(cells.select("node", cell).hint("merge"), "node"), width, percent)
+    merged = components(found.toDF("a", "b"))
+    dropped(found)
+    rows = rows.join(merged.withColumnRenamed("label", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    sizes = rows.groupBy("label", "known").agg(F.sum("bytes").alias("size"))
+    largest = sizes.groupBy("label").agg(F.max(F.struct("size", F.col("known").alias("largest"))).alias("m")).select("label", "m.largest")
+    rows = written(rows.join(largest, "label").withColumn("asks", F.col("known") != F.col("largest")))
+    asked = written(rows.where("asks").groupBy("label").agg(F.ceil(F.sum("bytes") / part).cast("int").alias("parts")))
+    rows = rows.join(asked, "label")
+    place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    ask = rows.where("asks").select("node", "label", "known", place.alias("part"), F.explode(every).alias("block"))
+    answer = rows.select("node", "label", "known", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"))
+    both = ask.union(answer).select("node", F.xxhash64("label", "part", "block").alias("label"), "known").distinct()
+    more = _together(texts.join(both.hint("merge"), "node"), width, percent)
+    out = components(more.union(merged).toDF("a", "b"))
+    dropped(more, asked)
+    return out
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """node, label, n, shingles, checks: whole sets by two independent hash functions of words, once for each node."""
+    """node, label, n, size, shingles: whole sets as hashes, once for each node, and the bytes of its text."""
 
     def run(batches):
         for batch in batches:
             node, label, hi, lo = (batch.column(c).to_pylist() for c in range(4))
             for first, end, data, at in slices(batch.column(4)):
-                one, two = (shingle_sets(data, at, width, seed) for seed in (0, 1))
-                rows = [(node[first + i], label[first + i], len(s), s.tobytes(), c.tobytes()) for i, (s, c) in enumerate(zip(one, two, strict=True)) if _digest(s) == (hi[first + i], lo[first + i])]
+                rows = [(node[first + i], label[first + i], len(s), int(at[i + 1] - at[i]), s.tobytes()) for i, s in enumerate(shingle_sets(data, at, width)) if _digest(s) == (hi[first + i], lo[first + i])]
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "label", "n", "shingles", "checks"])
-
-    return texts.mapInArrow(run, "node long, label long, n long, shingles binary, checks binary").dropDuplicates(["node"])
-
-
-def _exact(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs that are linked, under both hash functions."""
-
-    def run(batches):
-        def linked(x: bytes, y: bytes) -> bool:
-            a, b = np.frombuffer(x, U), np.frombuffer(y, U)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            return 100 * shared >= percent * (len(a) + len(b) - shared)
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "label", "n", "size", "shingles"])
 
-        for batch in batches:
-            keep = [linked(a, b) and linked(c, d) for a, b, c, d in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("checks").alias(f"c{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "ca", "cb").mapInArrow(run, "a long, b long")
-
-    return confirm
-
-
-def _by_rounds(sets: DataFrame, percent: int, rounds: int = 12) -> DataFrame:
-    """node, label of texts whose tentative group is too large for a task, by stars over the lists of whole sets.
-
-    Each round compares every entry of a list with one centre, another one each time, and merges what is linked. It ends
-    once the pairs of different components are fewer than eight for each entry, or after `rounds`; these pairs are then
-    compared one by one, without any cap. Positions limit an entry to lists in which it can still be linked.
-    """
-    sure = f"cast(ceil({percent} * n / 100) as long)"
-    lists = _entries(sets, "shingles", sure, True)
-    compatible = f"100 * least(n, n2) >= {percent} * greatest(n, n2)" + "".join(f" and pos{i} <= n{i} - cast(ceil({percent} * (n + n2) / {100 + percent}) as long)" for i in ("", "2"))
-    confirm, labels = _exact(sets, percent), None
-    (total,) = lists.agg(F.count("*")).first()
-    for r in range(rounds + 1):
-        named = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = written(named.select("v", "node", "n", "pos", "label"))
-        per = named.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("labels")).where("labels > 1")
-        open_ = written(per.select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")))
-        left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        live = written(named.join(open_.select("v"), "v"))
-        last = r == rounds or left <= 8 * total
-        if last:
-            pairs = live.join(live.toDF("v", *[f"{c}2" for c in live.columns[1:]]), "v").where("label < label2").where(compatible)
-        else:
-            centre = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))).alias("c")
-            centres = written(live.groupBy("v").agg(centre).select("v", "c.node2", "c.n2", "c.pos2", "c.label2"))
-            pairs = live.join(centres, "v").where("label <> label2").where(compatible)
-        links = written(confirm(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()))
-        if not links.isEmpty():
-            labels = components(links if labels is None else links.union(labels.where("node <> label").select("node", "label")))
-        dropped(named, open_, live)
-        if last:
-            break
-    dropped(lists)
-    return sets.select("node", F.col("node").alias("label")).limit(0) if labels is None else labels
+    return texts.mapInArrow(run, "node long, label long, n long, size long, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most: int = MOST) -> DataFrame:
@@ -408,29 +396,26 @@ def _components(docs: DataFrame, width: int, percent: int, most: int) -> DataFra
 
 def _settled(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most: int) -> DataFrame:
     """node, label: the components of linked texts in tentative groups."""
-    form = "node long, label long"
-    together = lambda texts: texts.repartition("label").sortWithinPartitions("label").mapInArrow(_within(width, percent), form)
     large = not wanted.where("not small").isEmpty()
     with settings(docs.sparkSession, BLOOM):
-        texts = _texts(docs, wanted.where("small") if not large else wanted)
         if not large:
-            return written(together(texts))
-        texts = written(texts)
+            return _together(_texts(docs, wanted), width, percent)
+        texts = written(_texts(docs, wanted))
     small = wanted.where("small").select("node")
-    labels = written(together(texts.join(small.hint("merge"), "node")))
+    labels = _together(texts.join(small.hint("merge"), "node"), width, percent)
     rest = texts.join(wanted.where("not small").select("node").hint("merge"), "node")
     sets = written(_sets(rest, width))
     entries = _entries(sets, "shingles", f"cast(ceil({percent} * n / 100) as long)", True)
     found = _tentative(entries, percent, None)
-    dropped(entries)
-    bytes_of = F.greatest(F.sum(F.col("n") * 8), F.sum("size"))
-    lengths = rest.groupBy("node").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
-    sizes = written(sets.select("node", "n").join(lengths, "node").join(found, "node").groupBy("label").agg(bytes_of.alias("bytes")))
-    again = written(found.join(sizes, "label").select("node", "label", (F.col("bytes") <= most).alias("small")))
-    labels = labels.union(written(together(rest.drop("label").join(again.where("small").select("node", "label").hint("merge"), "node").select("node", "label", "hi", "lo", "text"))))
-    huge = again.where("not small").select("node", "label")
+    member = sets.select("node", F.greatest("size", F.col("n") * 8).alias("bytes")).join(found, "node")
+    sizes = member.groupBy("label").agg(F.sum("bytes").alias("total"))
+    again = written(member.join(sizes, "label").withColumn("small", F.col("total") <= most).drop("total"))
+    dropped(entries, found)
+    rest = rest.drop("label")
+    labels = labels.union(_together(rest.join(again.where("small").select("node", "label").hint("merge"), "node"), width, percent))
+    huge = again.where("not small").select("node", "label", "bytes")
     if not huge.isEmpty():
-        labels = labels.union(_by_rounds(written(sets.drop("label").join(huge, "node")), percent))
+        labels = labels.union(_in_blocks(rest, huge, width, percent, most))
     return labels
 
 
