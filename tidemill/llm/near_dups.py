@@ -156,7 +156,9 @@ def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, label, hi, lo, text of the rows in wanted (key, node, label, hi, lo); other texts under the same key come along."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(row_key().alias("key"), "text")
-    return texts.join(wanted.hint("merge"), "key").select("node", "label", "hi", "lo", "text")
+    # true of every group: Spark makes its Bloom filter only from a side that has a comparison. A side below the session's
+    # broadcast threshold, by the size of its files, is broadcast instead, and no text moves.
+    return texts.join(wanted.where("total > 0"), "key").select("node", "label", "hi", "lo", "text")
 
 
 def exact_links(texts: list[bytes], width: int, percent: int, known: list | None = None) -> np.ndarray:
@@ -310,7 +312,7 @@ def _in_blocks(texts: DataFrame, groups: DataFrame, width: int, percent: int, mo
     pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (most // 4) / F.col("total")
     cells = rows.select("node", F.explode(F.when(pivot, every).otherwise(F.array(block))).alias("block"), "label")
     cell = F.xxhash64("label", "block").alias("label")
-    found = _together(texts.join(cells.select("node", cell).hint("merge"), "node"), width, percent)
+    found = _together(texts.join(cells.select("node", cell), "node"), width, percent)
     merged = components(found.toDF("a", "b"))
     dropped(found)
     rows = rows.join(merged.withColumnRenamed("label", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
@@ -323,7 +325,7 @@ def _in_blocks(texts: DataFrame, groups: DataFrame, width: int, percent: int, mo
     ask = rows.where("asks").select("node", "label", "known", place.alias("part"), F.explode(every).alias("block"))
     answer = rows.select("node", "label", "known", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"))
     both = ask.union(answer).select("node", F.xxhash64("label", "part", "block").alias("label"), "known").distinct()
-    more = _together(texts.join(both.hint("merge"), "node"), width, percent)
+    more = _together(texts.join(both, "node"), width, percent)
     out = components(more.union(merged).toDF("a", "b"))
     dropped(more, asked)
     return out
@@ -375,7 +377,7 @@ def _components(docs: DataFrame, width: int, percent: int, most: int) -> DataFra
     member = nodes.select("node", "key", "hi", "lo", F.greatest("size", F.col("n") * 8).alias("bytes")).join(tentative, "node")
     member = written(member)
     sizes = written(member.groupBy("label").agg(F.sum("bytes").alias("bytes")))
-    wanted = written(member.join(sizes.withColumnRenamed("bytes", "total"), "label").select("key", "node", "label", "hi", "lo", (F.col("total") <= most).alias("small")))
+    wanted = written(member.join(sizes.withColumnRenamed("bytes", "total"), "label").select("key", "node", "label", "hi", "lo", "total", (F.col("total") <= most).alias("small")))
     labels = _settled(docs, wanted, width, percent, most)
     dropped(member, sizes, wanted, tentative)
     named = written(nodes.select("node", "hi", "lo", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -402,8 +404,8 @@ def _settled(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most:
             return _together(_texts(docs, wanted), width, percent)
         texts = written(_texts(docs, wanted))
     small = wanted.where("small").select("node")
-    labels = _together(texts.join(small.hint("merge"), "node"), width, percent)
-    rest = texts.join(wanted.where("not small").select("node").hint("merge"), "node")
+    labels = _together(texts.join(small, "node"), width, percent)
+    rest = texts.join(wanted.where("not small").select("node"), "node")
     sets = written(_sets(rest, width))
     entries = _entries(sets, "shingles", f"cast(ceil({percent} * n / 100) as long)", True)
     found = _tentative(entries, percent, None)
@@ -412,7 +414,7 @@ def _settled(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most:
     again = written(member.join(sizes, "label").withColumn("small", F.col("total") <= most).drop("total"))
     dropped(entries, found)
     rest = rest.drop("label")
-    labels = labels.union(_together(rest.join(again.where("small").select("node", "label").hint("merge"), "node"), width, percent))
+    labels = labels.union(_together(rest.join(again.where("small").select("node", "label"), "node"), width, percent))
     huge = again.where("not small").select("node", "label", "bytes")
     if not huge.isEmpty():
         labels = labels.union(_in_blocks(rest, huge, width, percent, most))
