@@ -1,8 +1,9 @@
 """Language-model scores of documents: a word model, and a subword lattice over an existing vocabulary.
 
-The lattice model takes the pieces of an existing vocabulary. The weight of a piece is its smoothed share among the
-pieces of all training words; a word's probability is the sum over *all* its segmentations, by forward recursion in
-log space. A document's is the product over its words and its end.
+The lattice model takes the pieces of an existing vocabulary. Their weights are fitted by expectation maximisation: forward
+and backward sums give how often each piece is expected over *all* segmentations of every training word. A word's
+lattice probability is the sum over all its segmentations, by forward recursion in log space; a word that stands in
+training texts is also one unit of its own, by its count. A document's probability is the product over words and end.
 
 Distinct words are counted and their lattices summed once, in Spark. Words with at least 1/400,000 of all tokens
 (400,000 at most, whatever the input) are scored map-side from a broadcast; the others are joined by their hash.
@@ -11,7 +12,6 @@ Distinct words are counted and their lattices summed once, in Spark. Words with
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, tune, written
-from .text import LOWER, SPACES, span_hashes, spans
+from .text import GOLD, LOWER, SPACES, U, mix, span_hashes, spans
 
 FOLDS, HELD_OUT, WORDS = 7, 2, 400_000
+EM, SHARE = 2, 0.5  # rounds of expectation maximisation; weight of the word's own count
 SPACE = "▁"  # stands before a word in the vocabulary
 
 
@@ -71,12 +72,28 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 class Lattice:
-    """log10 weights of pieces (of bytes for what no piece spells) and the sum over all segmentations of a word."""
+    """log10 weights of pieces (of bytes for what no piece spells) and sums over all segmentations of a word.
+
+    `many` works on arrays: words of one length together, pieces found by a hash of each stretch. `log10` takes one word of
+    any length, character by character.
+    """
 
     def __init__(self, weights: dict[str, float], byte_weights: list[float]):
+        self.names = list(weights)
         self.weights = {p: w * math.log(10) for p, w in weights.items()}
-        self.bytes = [w * math.log(10) for w in byte_weights]
+        self.bytes = np.array(byte_weights) * math.log(10)
         self.longest = max(map(len, weights), default=1)
+        by_size: dict[int, list[int]] = {}
+        for i, p in enumerate(self.names):
+            by_size.setdefault(len(p), []).append(i)
+        self.tables = {}
+        for size, own in by_size.items():
+            points = np.array([[ord(c) for c in self.names[i]] for i in own], np.uint32).reshape(len(own), size)
+            h = points[:, 0].astype(U)
+            for k in range(1, size):
+                h = mix(h + GOLD) + points[:, k]
+            order = np.argsort(h)
+            self.tables[size] = (h[order], np.array(own)[order], np.array([self.weights[self.names[i]] for i in np.array(own)[order]]))
 
     def log10(self, word: str) -> float:
         s = SPACE + word
@@ -92,7 +109,7 @@ class Lattice:
                 if w is None:
                     if j > i + 1:
                         continue
-                    w = sum(self.bytes[b] for b in s[i].encode())  # a character without a piece
+                    w = float(sum(self.bytes[b] for b in s[i].encode()))  # a character without a piece
                 w += here
                 old = forward[j]
                 if old == -math.inf:
@@ -102,8 +119,77 @@ class Lattice:
                     forward[j] = high + math.log1p(math.exp(low - high))
         return forward[n] / math.log(10)
 
-
-def _piece_counts(words: DataFrame, model) -> Counter:
+    def _arcs(self, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each piece length, at each place: the piece (or -1) and its weight. points: words of one length, by row."""
+        out, h = [], None
+        for size in range(1, min(self.longest, points.shape[1]) + 1):
+            h = points.astype(U) if size == 1 else mix(h[:, :-1] + GOLD) + points[:, size - 1 :]
+            piece, weight = np.full(h.shape, -1), np.full(h.shape, -np.inf)
+            if size in self.tables:
+                known, own, weights = self.tables[size]
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[i] == h
+                piece[hit], weight[hit] = own[i[hit]], weights[i[hit]]
+            if size == 1 and (lone := piece < 0).any():
+                odd, of = np.unique(points[lone], return_inverse=True)
+                weight[lone] = np.array([sum(self.bytes[b] for b in chr(c).encode("utf-8", "replace")) for c in odd.tolist()])[of]
+            out.append((piece, weight))
+        return out
+
+    def _groups(self, words: list[str], longest: int = 48, rows: int = 2048):
+        """Indexes and code points of words of one length; longer words come with none."""
+        size = np.array([len(w) + 1 for w in words])
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            for lo in range(0, len(own), rows):
+                some = own[lo : lo + rows]
+                yield some, None if n > longest else np.frombuffer("".join(SPACE + words[i] for i in some.tolist()).encode("utf-32-le"), np.uint32).reshape(len(some), n)
+
+    @staticmethod
+    def _forward(arcs: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        alpha = np.full((len(arcs[0][0]), n + 1), -np.inf)
+        alpha[:, 0] = 0
+        for j in range(1, n + 1):
+            for k in range(min(j, len(arcs))):
+                np.logaddexp(alpha[:, j], alpha[:, j - k - 1] + arcs[k][1][:, j - k - 1], out=alpha[:, j])
+        return alpha
+
+    def many(self, words: list[str]) -> np.ndarray:
+        """log10 of the sum over all segmentations, for each word."""
+        out = np.empty(len(words))
+        for own, points in self._groups(words):
+            if points is None:
+                out[own] = [self.log10(words[i]) for i in own.tolist()]
+            else:
+                out[own] = self._forward(self._arcs(points), points.shape[1])[:, -1] / math.log(10)
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """How often each piece, then each byte, stands in all segmentations of the words, by their probabilities (forward and backward sums)."""
+        total = np.zeros(len(self.names) + 256)
+        for own, points in self._groups(words):
+            parts = [(points, counts[own])] if points is not None else [(np.array([[ord(c) for c in SPACE + words[i]]], np.uint32), counts[[i]]) for i in own.tolist()]
+            for x, c in parts:
+                n, arcs = x.shape[1], self._arcs(x)
+                alpha = self._forward(arcs, n)
+                beta = np.full(alpha.shape, -np.inf)
+                beta[:, n] = 0
+                for i in range(n - 1, -1, -1):
+                    for k in range(min(n - i, len(arcs))):
+                        np.logaddexp(beta[:, i], beta[:, i + k + 1] + arcs[k][1][:, i], out=beta[:, i])
+                for k, (piece, weight) in enumerate(arcs):
+                    share = np.exp(alpha[:, : n - k] + weight + beta[:, k + 1 :] - alpha[:, [n]]) * c[:, None]
+                    hit = piece >= 0
+                    total[: len(self.names)] += np.bincount(piece[hit], share[hit], len(self.names))
+                    if k == 0 and not hit.all():
+                        odd, of = np.unique(x[~hit], return_inverse=True)
+                        for point, amount in zip(odd.tolist(), np.bincount(of, share[~hit]).tolist()):
+                            for b in chr(point).encode("utf-8", "replace"):
+                                total[len(self.names) + b] += amount
+        return total
+
+
+def _piece_counts(words: DataFrame, model) -> dict[int, float]:
     """How often the existing model uses each of its pieces in the training words."""
 
     def run(batches):
@@ -116,32 +202,70 @@ def _piece_counts(words: DataFrame, model) -> Counter:
             weight = np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids])
             counts += np.bincount(np.array([i for x in ids for i in x], np.int64), weight, len(counts)).astype(np.int64)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["i", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used].astype(float))], ["i", "c"])
+
+    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "i long, c double").groupBy("i").agg(F.sum("c").alias("c"))
+    return {r["i"]: r["c"] for r in rows.collect()}  # as many rows as the vocabulary at most
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum("c").alias("c"))
-    return Counter({r["i"]: r["c"] for r in rows.collect()})  # as many rows as the vocabulary at most
 
+def _expected(words: DataFrame, lattice) -> np.ndarray:
+    """The expectation step over all training words."""
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + lattice.value.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+        if not np.isscalar(total):
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["i", "c"])
 
-def trained_lattice(words: DataFrame, model_bytes: bytes, model) -> Lattice:
+    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).collect()
+    out = np.zeros(len(lattice.value.names) + 256)
+    for r in rows:  # pieces and bytes at most
+        out[r["i"]] = r["c"]
+    return out
+
+
+def trained_lattice(words: DataFrame, model_bytes: bytes, model, rounds: int = EM) -> Lattice:
+    """The vocabulary's pieces, weighted by expectation maximisation over all training words.
+
+    It starts from the shares of the pieces in the segmentations that the existing model chooses; each round replaces them
+    by the smoothed shares expected over all segmentations.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
     counts = _piece_counts(words, model)
-    usable = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    total = sum(counts[i] for i in usable) + len(usable)
-    weight = {i: math.log10((counts[i] + 1) / total) for i in usable}
-    octets = {int(sp.id_to_piece(i)[1:-1], 16): weight[i] for i in usable if sp.is_byte(i)}
-    floor = math.log10(1 / total)
-    return Lattice({sp.id_to_piece(i): w for i, w in weight.items() if not sp.is_byte(i)}, [octets.get(b, floor) for b in range(256)])
-
-
-def lm_scores(docs: DataFrame, vocabulary: str, most: int = WORDS) -> DataFrame:
+    usable = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+    octet = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
+    names = [sp.id_to_piece(i) for i in usable]
+    shares = np.array([counts.get(i, 0.0) for i in usable] + [counts.get(octet.get(b), 0.0) for b in range(256)])
+    sc = words.sparkSession.sparkContext
+    for r in range(rounds + 1):
+        weight = np.log10((shares + 1) / (shares.sum() + len(shares)))
+        lattice = Lattice(dict(zip(names, weight[: len(names)].tolist(), strict=True)), weight[len(names) :].tolist())
+        if r < rounds:
+            shares = _expected(words, sc.broadcast(lattice))
+    return lattice
+
+
+def mixed(lattice: np.ndarray, c: np.ndarray, total: int, share: float) -> np.ndarray:
+    """log10 of a word's probability: `share` of it by the word's own training count, the rest by its lattice."""
+    rest = lattice + math.log10(1 - share)
+    known = (c > 0) & (total > 0)
+    own = np.log10(np.where(known, c, 1) / max(total, 1) * share)
+    high = np.maximum(rest, own)
+    return np.where(known, high + np.log10(10 ** (rest - high) + 10 ** (own - high)), rest)
+
+
+def lm_scores(docs: DataFrame, vocabulary: str, most: int = WORDS, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     vocabulary is a sentencepiece model file. Documents whose crc32(doc_id as text) mod 7 is 2 are held out of all
-    counts. base_score adds log10((c + 1) / (N + V + 1)) over the words and the end; score is the lattice model's log10
-    probability of the text: every word's lattice sum and the chance that the text goes on, then the chance of its
-    end. Null counts as empty, which is an end alone. A null doc_id is not held out. Repeated rows each count and each
+    counts. base_score adds log10((c + 1) / (N + V + 1)) over the words and the end; score is the model's log10 probability
+    of the text: every word's probability (mixed: its lattice sum, and with weight `share` the whole word as one unit of
+    the corpus) and the chance that the text goes on, then the chance of its end. Null counts as empty, which is an end alone. A null doc_id is not held out. Repeated rows each count and each
     get a row. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -162,8 +286,9 @@ def lm_scores(docs: DataFrame, vocabulary: str, most: int = WORDS) -> DataFrame:
 
     def weigh(batches):
         for batch in batches:
-            lp = [lattice.value.log10(w) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lp, pa.float64())], ["h", "c", "t", "lp"])
+            if batch.num_rows:
+                lp = mixed(lattice.value.many(batch.column(1).to_pylist()), batch.column(2).to_numpy(), count, share)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lp, pa.float64())], ["h", "c", "t", "lp"])
 
     weighed = written(words.select("h", "word", "c", "t").mapInArrow(weigh, "h long, c long, t long, lp double"))
     frequent = F.col("t") >= max(2, -(-everything // most))
