@@ -88,36 +88,44 @@ class Movie:
 
 
 def parse(file: bytes) -> Movie:
-    """The frames of the first video stream, by the index (or in file order without one). ValueError if it's no AVI file."""
+    """The frames of the first video stream, by the index (or in file order without one), then those of AVIX parts of
+    long files, which the index doesn't cover. ValueError if it's no AVI file."""
     if file[:4] != b"RIFF" or file[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     found: dict[bytes, tuple[int, int]] = {}
-    loose: list[tuple[int, int]] = []
+    loose: list[tuple[int, bytes, int, int]] = []  # RIFF part, stream, place, size
 
-    def walk(at: int, end: int) -> None:
+    def walk(part: int, at: int, end: int) -> None:
         while at + 8 <= end:
             name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
             if name == b"LIST":
                 found.setdefault(file[at + 8 : at + 12], (at + 8, size))
-                walk(at + 12, min(end, at + 8 + size))
+                walk(part, at + 12, min(end, at + 8 + size))
             elif name[2:] in (b"dc", b"db"):
-                loose.append((at + 8, size))
+                loose.append((part, name[:2], at + 8, size))
             else:
                 found.setdefault(name, (at + 8, size))
             at += 8 + size + size % 2
 
-    walk(12, len(file))
+    at, part = 0, 0
+    while at + 12 <= len(file) and file[at : at + 4] == b"RIFF":
+        size = struct.unpack_from("<I", file, at + 4)[0]
+        walk(part, at + 12, min(len(file), at + 8 + size))
+        at, part = at + 8 + size + size % 2, part + 1
     if b"movi" not in found:
         raise ValueError("no movi list")
     frames = loose
     if b"idx1" in found:
         at, size = found[b"idx1"]
         base = found[b"movi"][0]
-        frames = [(base + o + 8, n) for name, _, o, n in struct.iter_unpack("<4sIII", file[at : at + size - size % 16]) if name[2:] in (b"dc", b"db")]
+        index = [(name, o, n) for name, _, o, n in struct.iter_unpack("<4sIII", file[at : at + size - size % 16]) if name[2:] in (b"dc", b"db")]
+        if index and file[base + index[0][1] : base + index[0][1] + 4] != index[0][0]:
+            base = 0  # some writers count from the file's start
+        frames = [(0, name[:2], base + o + 8, n) for name, o, n in index] + [x for x in loose if x[0]]
     us, width, height = 1_000_000 // FPS, 0, 0
     if b"avih" in found:
         us, width, height = (struct.unpack_from("<I", file, found[b"avih"][0] + o)[0] for o in (0, 32, 36))
-    return Movie(1_000_000 / max(us, 1), width, height, [file[o : o + n] for o, n in frames])
+    return Movie(1_000_000 / max(us, 1), width, height, [file[o : o + n] for _, stream, o, n in frames if stream == frames[0][1]])
 
 
 def _codes(body: bytes) -> dict[tuple[int, int], int]:
@@ -130,32 +138,54 @@ def _codes(body: bytes) -> dict[tuple[int, int], int]:
     return out
 
 
+#: The Huffman tables of the JPEG standard, which motion JPEG frames may leave out. Counts of codes by
+#: length, then symbols; the symbols after the listed ones follow in order of value.
+_AC = {16 * run + size for run in range(16) for size in range(1, 11)} | {0x00, 0xF0}
+_AC_LUMA = bytes([1, 2, 3, 0, 4, 0x11, 5, 0x12, 0x21, 0x31, 0x41, 6, 0x13, 0x51, 0x61, 7, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 8, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82])
+_AC_CHROMA = bytes([0, 1, 2, 3, 0x11, 4, 5, 0x21, 0x31, 6, 0x12, 0x41, 0x51, 7, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 8, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 9, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1])
+DEFAULT_TABLES = {
+    0x00: bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]) + bytes(range(12)),
+    0x01: bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]) + bytes(range(12)),
+    0x10: bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]) + _AC_LUMA + bytes(sorted(_AC - set(_AC_LUMA))),
+    0x11: bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]) + _AC_CHROMA + bytes(sorted(_AC - set(_AC_CHROMA))),
+}
+
+
 def coefficients(frame: bytes) -> tuple[np.ndarray, int, int]:
-    """Quantised coefficients (blocks x 64, zigzag), width and height of a grey baseline JPEG."""
-    at, tables, quant, restart, width, height = 2, {}, np.ones(64, np.int32), 0, 0, 0
+    """Dequantised coefficients (blocks x 64, zigzag) of the luma component, width and height of a baseline JPEG, grey or colour.
+
+    ValueError for other kinds of JPEG. Blocks come in the order they are coded.
+    """
+    at, tables, quant, restart, width, height, parts = 2, dict(DEFAULT_TABLES), {}, 0, 0, 0, []
     while True:
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
-            quant = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
-        elif marker == 0xC0:
-            _, height, width, parts = struct.unpack_from(">BHHB", body)
-            if parts != 1:
-                raise ValueError("only grey frames")
+            while body:
+                wide = body[0] >> 4
+                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int32)
+                body = body[65 + 64 * wide :]
+        elif marker in (0xC0, 0xC1):
+            _, height, width, n = struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]  # name, across, down, table
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
                 tables[body[0]] = body[1:n]
                 body = body[n:]
+        elif 0xC2 <= marker <= 0xCF:
+            raise ValueError("not a baseline frame")
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             break
-    blocks = -(-width // 8) * -(-height // 8)
+    if not parts or body[0] != len(parts):
+        raise ValueError("not one scan of all components")
     scan = np.frombuffer(frame, np.uint8)[at:-2]
     plain = _table(0, 8)[1:]
-    if restart == 1 and tables.get(0) == plain and tables.get(0x10) == plain:
+    if len(parts) == 1 and restart == 1 and tables[0] == plain and tables[0x10] == plain:
+        blocks = -(-width // 8) * -(-height // 8)
         full = scan == 0xFF
         after = np.concatenate([[False], full[:-1]])
         mark = after & (scan >= 0xD0) & (scan <= 0xD7)
@@ -164,13 +194,20 @@ def coefficients(frame: bytes) -> tuple[np.ndarray, int, int]:
         extra = scan[~drop].reshape(blocks, 2 * BLOCK)[:, 1::2].astype(np.int32)
         values = np.where(extra < 128, extra - 255, extra)
     else:
-        values = _decoded(scan.tobytes(), _codes(tables[0]), _codes(tables[0x10]), blocks, restart)
-    return values * quant, width, height
+        if len(parts) == 1:
+            parts = [(parts[0][0], 1, 1, parts[0][3])]
+        across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+        units = -(-width // (8 * across)) * -(-height // (8 * down))
+        codes = {k: _codes(t) for k, t in tables.items()}
+        chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+        plan = [(p[1] * p[2], codes[chosen[p[0]] >> 4], codes[0x10 | chosen[p[0]] & 15]) for p in parts]
+        values = _decoded(scan.tobytes(), plan, units, restart)
+    return values * quant.get(parts[0][3], np.ones(64, np.int32)), width, height
 
 
-def _decoded(scan: bytes, dc: dict, ac: dict, blocks: int, restart: int) -> np.ndarray:
-    """Any Huffman tables, bit by bit."""
-    out, at, held, bits, last = np.zeros((blocks, 64), np.int32), 0, 0, 0, 0
+def _decoded(scan: bytes, plan: list[tuple[int, dict, dict]], units: int, restart: int) -> np.ndarray:
+    """The first component's blocks, bit by bit. plan: each component's blocks in a unit and its DC and AC codes."""
+    out, at, held, bits, last = [], 0, 0, 0, [0] * len(plan)
 
     def take(n: int) -> int:
         nonlocal at, held, bits
@@ -195,21 +232,30 @@ def _decoded(scan: bytes, dc: dict, ac: dict, blocks: int, restart: int) -> np.n
         x = take(n) if n else 0
         return x if not n or x >> (n - 1) else x - (1 << n) + 1
 
-    for b in range(blocks):
-        if restart and b and b % restart == 0:
-            held = bits = last = 0
+    for u in range(units):
+        if restart and u and u % restart == 0:
+            held = bits = 0
+            last = [0] * len(plan)
             at += 2
-        last += value(symbol(dc))
-        out[b, 0], k = last, 1
-        while k < 64:
-            s = symbol(ac)
-            if not s:
-                break
-            k += s >> 4
-            if s & 15:
-                out[b, k] = value(s & 15)
-            k += 1
-    return out
+        for i, (blocks, dc, ac) in enumerate(plan):
+            for _ in range(blocks):
+                last[i] += value(symbol(dc))
+                block, k = [0] * 64, 1
+                block[0] = last[i]
+                while k < 64:
+                    s = symbol(ac)
+                    if not s:
+                        break
+                    k += s >> 4
+                    if s & 15:
+                        v = value(s & 15)
+                        if k > 63:
+                            raise ValueError("bad run")
+                        block[k] = v
+                    k += 1
+                if i == 0:
+                    out.append(block)
+    return np.array(out, np.int32).reshape(-1, 64)
 
 
 def stored(frames: list[np.ndarray]) -> bytes:
@@ -228,7 +274,9 @@ def histograms(frames: list[np.ndarray]) -> np.ndarray:
 
 
 def shots(hist: np.ndarray, window: int = 8, factor: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
-    """Frames [start, end) of each shot: a cut stands where the histogram difference is above what the last `window` led to expect."""
+    """Frames [start, end) of each shot: a cut stands where the histogram difference is above what the last `window` led to expect. No frames, no shots."""
+    if not len(hist):
+        return []
     cuts, past = [0], []
     for i in range(1, len(hist)):
         d = 0.5 * float(np.abs(hist[i] - hist[i - 1]).sum())
@@ -242,9 +290,11 @@ def shots(hist: np.ndarray, window: int = 8, factor: float = 3.0, least: float =
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """One row per shot of each (id, media) row: id, clip, first_frame, end_frame, start_s, end_s.
+    """One row per shot of each (id, media) row: id, clip, first_frame, end_frame, start_s, end_s, error.
 
-    Null or unreadable media have no rows; repeated rows each give theirs. Other columns are ignored.
+    Media that can't be read (null, no AVI, frames that are no baseline JPEG) and movies without frames have one row with
+    the reason in error and nulls for the rest. Repeated rows each give theirs, an empty table none. Other columns are
+    ignored.
     """
 
     def run(batches):
@@ -253,15 +303,18 @@ def clips(media: DataFrame) -> DataFrame:
             for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     movie = parse(blob or b"")
-                    found = shots(histograms([coefficients(f)[0] for f in movie.frames])) if movie.frames else []
-                except (ValueError, IndexError, KeyError, struct.error):
+                    if not movie.frames:
+                        raise ValueError("no frames")
+                    found = shots(np.concatenate([histograms([coefficients(f)[0]]) for f in movie.frames]))
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows.append((key, None, None, None, None, None, "no media" if blob is None else f"{type(e).__name__}: {e}"))
                     continue
-                rows += [(key, k, a, b, a / movie.fps, b / movie.fps) for k, (a, b) in enumerate(found)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "clip", "first_frame", "end_frame", "start_s", "end_s"])
+                rows += [(key, k, a, b, a / movie.fps, b / movie.fps, None) for k, (a, b) in enumerate(found)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "clip", "first_frame", "end_frame", "start_s", "end_s", "error"])
 
-    return media.select(F.col("id").cast("long"), "media").mapInArrow(run, "id long, clip int, first_frame int, end_frame int, start_s double, end_s double")
+    return media.select(F.col("id").cast("long"), "media").mapInArrow(run, "id long, clip int, first_frame int, end_frame int, start_s double, end_s double, error string")
 
 
 def media_rows(docs: DataFrame) -> DataFrame:
@@ -269,7 +322,9 @@ def media_rows(docs: DataFrame) -> DataFrame:
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null counts as
     empty; an empty text's payload is 64 zero bytes. Equal texts give equal values; repeated rows each give a row. An
-    empty table gives an empty result. feature: frames, each shot's frames and its brightest share of samples.
+    empty table gives an empty result. feature: frames, each shot's frames and its brightest share of samples. A file's
+    sizes have 32 bits, so that a text may have some 1.9 GB; frames are decoded one at a time, and beside the text its
+    file, about twice as long, is all that is held.
     """
     tune(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -277,10 +332,16 @@ def media_rows(docs: DataFrame) -> DataFrame:
     def row(doc, text):
         raw = (text or "").encode()
         file = avi(raw + b"\0" * (-len(raw) % BLOCK if raw else BLOCK))
-        frames = [coefficients(f)[0] for f in parse(file).frames]
-        back, hist = stored(frames), histograms(frames)
+        size, tail, back, hist = 0, b"", hashlib.sha256(), []
+        for f in parse(file).frames:
+            c = coefficients(f)[0]
+            data = stored([c])
+            size, tail = size + len(data), data[-64:]
+            back.update(data)
+            hist.append(histograms([c])[0])
+        hist = np.array(hist)
         cut = " ".join(f"{a}-{b}:{hist[a:b].mean(axis=0).max():.4f}" for a, b in shots(hist))
-        return doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file), hashlib.sha256(file).hexdigest(), f"{len(frames)}|{cut}"
+        return doc, len(raw), size, back.hexdigest(), zlib.crc32(tail), len(file), hashlib.sha256(file).hexdigest(), f"{len(hist)}|{cut}"
 
     def run(batches):
         kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
