@@ -241,7 +241,6 @@ def candidates(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     size = ends - starts
     some = (size >= LONG) | ((size >= SHORT) & (digits[ends] > digits[starts]))
-    some &= ~((size > 512) & (digits[ends] == digits[starts]))  # a run of letters alone is no key
     out = list(zip((np.searchsorted(at, starts[some], "right") - 1).tolist(), starts[some].tolist(), ends[some].tolist(), strict=True))
     raw = data.tobytes()
     if b"PRIVATE KEY-----" in raw:
@@ -321,7 +320,11 @@ def secret_scan(docs: DataFrame, findings: list[tuple[str, str, str, int]] | Non
 
 
 def redact_secrets(docs: DataFrame, cut: float = 0.5, mark: str = "<secret>") -> DataFrame:
-    """docs with every secret in text replaced by a mark (and n_chars, where there is such a column, counted anew). No row is dropped."""
+    """docs with every secret in text replaced by a mark (and n_chars, where there is such a column, counted anew).
+
+    No row is dropped, and no other column changes. Null and empty texts stay as they are, repeated rows get equal texts;
+    of overlapping secrets all characters go. An empty table gives an empty result.
+    """
     tune(docs.sparkSession)
     forest = docs.sparkSession.sparkContext.broadcast(trained())
     place, names = docs.columns.index("text"), docs.columns
