@@ -131,7 +131,7 @@ class Index:
 def _words(data: np.ndarray, at: np.ndarray):
     low = LOWER[data]
     starts, ends, of = spans(low, at, NOT_ALNUM)
-    return starts, of, span_hashes(low, starts, ends)
+    return starts, of, span_hashes(low, starts, ends), ends, low
 
 
 def _counted(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
@@ -161,17 +161,17 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, contained:
     doc_id and text are ignored.
     """
     tune(docs.sparkSession)
-    wanted = [([hash_of(w) for w in words_of(p)], label) for p, label in (phrases or PHRASES).items()]
+    wanted = [([hash_of(w) for w in words_of(p)], [w.encode() for w in words_of(p)], label) for p, label in (phrases or PHRASES).items()]
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, _counted(docs, Index(templates, {}, contained).vocabulary), contained))
 
     def scan(doc: pa.Array, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         ix, n = index.value, len(at) - 1
-        starts, of, h = _words(data, at)
+        starts, of, h, ends, low = _words(data, at)
         text_of = np.repeat(np.arange(n), np.diff(of))
         base, labels, score, blocks = [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n), [[] for _ in range(n)]
         places = np.zeros(n, np.int64)
         first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
-        for phrase, label in wanted:
+        for phrase, spelled, label in wanted:
             m = len(phrase)
             if len(h) < m:
                 continue
@@ -179,6 +179,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, contained:
             for j, x in enumerate(phrase):
                 hit &= h[j : len(h) - m + 1 + j] == np.uint64(x)
             for i in np.flatnonzero(hit).tolist():
+                if any(low[starts[i + j] : ends[i + j]].tobytes() != w for j, w in enumerate(spelled)):
+                    continue  # equal hashes of other words
                 t = int(text_of[i])
                 k = i - int(of[t])
                 places[t] += 1
