@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 SUPPORT = 0.001
 WHITE = " \t\n\x0b\x0c\r"
@@ -46,18 +46,24 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, columns unchanged; of rows that repeat doc_id and text, one stays."""
+    """docs with one row of each group of equal texts, columns unchanged: the row that exact_duplicates keeps.
+
+    Null texts equal empty ones and those of white space alone; a null doc_id comes after all others. Of rows that repeat
+    doc_id and text one stays, of rows of one doc_id whose texts differ in white space the first by length, then by text.
+    An empty table gives an empty result; columns may have any names.
+    """
     marked = written(exact_duplicates(docs))
-    gone = marked.where("not kept").select("doc_id", "text_sha256").distinct()
-    repeated = marked.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
-    gone, repeated = written(gone), written(repeated)
-    out = docs.withColumn("__digest", digest(F.col("text")))
+    gone = written(marked.where("not kept").select("doc_id", "text_sha256").distinct())
+    repeated = written(marked.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count"))
+    dropped(marked)
+    sha = digest(docs["text"])
 
-    def matched(other: DataFrame):
-        return out["doc_id"].eqNullSafe(other["doc_id"]) & (out["__digest"] == other["text_sha256"])
+    def matched(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["doc_id"]) & (sha == other["text_sha256"])
 
     if repeated.isEmpty():
-        return out.join(gone, matched(gone), "left_anti").drop("__digest")
-    once = out.join(repeated, matched(repeated), "left_anti")
-    again = out.join(repeated, matched(repeated), "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return once.unionByName(again).join(gone, matched(gone), "left_anti").drop("__digest")
+        return docs.join(gone, matched(gone), "left_anti")
+    once = docs.join(repeated, matched(repeated), "left_anti").join(gone, matched(gone), "left_anti")
+    # a winner's own rows, few and alike: the best of each by one sort-free aggregate
+    again = docs.join(repeated, matched(repeated), "left_semi").select(docs["doc_id"].alias("doc_id"), sha.alias("sha"), F.struct((-F.length(F.coalesce(docs["text"], F.lit("")))).alias("n"), docs["text"].alias("t"), F.struct(*docs.columns).alias("row")).alias("x"))
+    return once.unionByName(again.groupBy("doc_id", "sha").agg(F.min("x").alias("x")).select("x.row.*"))

@@ -106,7 +106,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches):
         for batch in batches:
-            x, y = np.array(batch.column(0).to_pylist()).reshape(batch.num_rows, -1), batch.column(1).to_numpy()
+            x, y = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(1).to_numpy()
             for c in (0, 1):
                 if len(own := x[y == c]):
                     flat = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -134,7 +134,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist())
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(x))], ["doc_id", "score"])
 
     out = rows.mapInArrow(run, "doc_id long, score double")
@@ -142,7 +142,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """docs without the rows scored below cut, columns unchanged; the texts do not shuffle."""
+    """docs without the rows scored below cut, columns unchanged; the texts do not shuffle.
+
+    A null or empty text is scored like any other and stays or goes by it; null ids, repeated rows and ties change nothing,
+    since each row is judged by its text alone. Without labels of both classes every row has the smoothed share of label 1.
+    An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     tune(spark)
     rows = written(_rows(docs))
