@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import struct
 import textwrap
 import tracemalloc
 import zlib
@@ -145,6 +146,66 @@ def test_lm(docs, none):
     assert lm_scores(none, PIECES).count() == 0
 
 
+def test_lm_score_by_force(spark, docs):
+    """score from the fitted pieces, with every segmentation summed for itself."""
+    from tidemill.llm import lattice_lm
+
+    few = spark.createDataFrame([r for r in ROWS if r[0] != 12], "doc_id long, text string")
+    model = open(PIECES, "rb").read()
+    train = few.select("doc_id", lattice_lm.F.expr("coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 7) <> 2, true)").alias("train"), "text")
+    lattice = lattice_lm.trained_lattice(lattice_lm._words(train), model, spark.sparkContext.broadcast(model))
+    W = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) for i, t in ROWS if i != 12}
+    out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in ROWS if i != 12]
+    rows = [r for r in ROWS if r[0] != 12]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) for _, t in rows]
+    c = Counter(w for ws, h in zip(words, out) if not h for w in ws)
+    n, ends = sum(c.values()), out.count(False)
+
+    def force(s):
+        total = {0: 1.0}
+        for i in range(len(s)):
+            for k in range(1, 17):
+                w = lattice.weights.get(s[i : i + k]) if i + k <= len(s) else None
+                if w is None and k == 1:
+                    w = sum(lattice.bytes[b] for b in s[i].encode())
+                if w is not None and i in total:
+                    total[i + k] = total.get(i + k, 0.0) + total[i] * math.exp(w)
+        return math.log10(0.5 * total[len(s)] + (0.5 * c[s[1:]] / n if c[s[1:]] else 0))
+
+    want = sorted(((i, sum(force("▁" + w) for w in ws) + len(ws) * math.log10((n + 1) / (n + ends + 2)) + math.log10((ends + 1) / (n + ends + 2))) for (i, _), ws in zip(rows, words)), key=repr)
+    got = listed(lm_scores(few, PIECES), "doc_id", "score")
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-6 * max(1, abs(w[1])) for g, w in zip(got, want))
+
+
+def test_lattice_fit_raises_held_out_likelihood(spark):
+    from tidemill.llm import lattice_lm
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select((lattice_lm.F.col("doc_id") % 3 != 0).alias("train"), "text")
+    words = d.sparkSession.createDataFrame(lattice_lm._words(d).collect())
+    model = open(PIECES, "rb").read()
+    held = [(r["word"], r["t"] - r["c"]) for r in words.where("t > c").collect()]
+    fits = []
+    for rounds in (0, 1, 2):
+        lattice = lattice_lm.trained_lattice(words, model, spark.sparkContext.broadcast(model), rounds)
+        fits.append(float(lattice.many([w for w, _ in held]) @ np.array([k for _, k in held])))
+    assert fits[0] < fits[1] < fits[2]
+
+
+def test_lattice_arrays_equal_single_words():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = np.random.default_rng(2)
+    x = Lattice({sp.id_to_piece(i): float(r.uniform(-9, -1)) for i in range(300, 4000)}, r.uniform(-9, -5, 256).tolist())
+    words = ["", "a", "the", "中文é", "😀", "x" * 100, "▁▁", *("".join(r.choice(list("etaoinshrdlué中"), int(k))) for k in r.integers(1, 60, 300))]
+    assert np.allclose(x.many(words), [x.log10(w) for w in words])
+    counts = np.ones(len(words))
+    expected, step = x.expected(words, counts), 1e-5  # the derivative of the sum by a piece's weight is its expected count
+    for i in np.argsort(-expected[: len(x.names)])[:4].tolist():
+        moved = Lattice({n: x.weights[n] / math.log(10) + (step if k == i else 0) for k, n in enumerate(x.names)}, (x.bytes / math.log(10)).tolist())
+        assert abs((moved.many(words).sum() - x.many(words).sum()) / step - expected[i]) < 1e-2 * max(1, expected[i])
+
+
 def test_lattice_sums_all_segmentations():
     weights = {"▁": -0.5, "a": -0.3, "b": -0.4, "ab": -0.2, "▁a": -0.6}
     x = Lattice(weights, [-3.0] * 256)
@@ -166,7 +227,10 @@ def test_exact(docs, none):
     assert listed(exact_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
     assert exact_duplicates(none).count() == 0
     once = exact_dedup(docs)
-    assert once.columns == docs.columns and once.count() == len(set(norm))
+    assert once.columns == docs.columns and once.count() == len(set(norm)) and exact_dedup(none).count() == 0
+    odd = docs.sparkSession.createDataFrame([(1, "a b", 1), (1, "ab", 2), (1, "a b", 3), (2, " a b", 4), (3, "x", 5)], "doc_id long, text string, __digest int")
+    assert listed(exact_dedup(odd), "doc_id", "__digest") == [(2, 4), (3, 5)]
+    assert listed(exact_dedup(odd.where("doc_id <> 2")), "doc_id", "text", "__digest") == [(1, "a b", 1), (3, "x", 5)]
 
 
 def test_bpe(docs, none):
@@ -189,11 +253,20 @@ def test_chat(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def pieces_by_force(rows, tokenizer):
+    out = []
+    for i, x in rows:
+        ids = [*tokenizer.encode(x or "", add_special_tokens=False).ids, 1]
+        out += [(i, k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    return out
+
+
 def test_packing(docs, none):
     t = Tokenizer.from_file(WORD)
     rows = packing.packed(docs, WORD).collect()
     whole = sorted(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in ROWS)
     assert sum(r["length"] for r in rows) == sum(whole)
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=repr) == sorted(pieces_by_force(ROWS, t), key=repr)
     places = {}
     for r in rows:
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -225,7 +298,7 @@ def test_media(docs, none):
     assert avi.stored(frames) == payload and len(frames) == 2 and round(movie.fps) == 25
     f = movie.frames[1]
     codes = avi._codes(avi._table(0, 8)[1:])
-    assert (avi._decoded(f[f.index(b"\xff\xda") + 10 : -2], codes, codes, 6, 1) == frames[1]).all()
+    assert (avi._decoded(f[f.index(b"\xff\xda") + 10 : -2], [(1, codes, codes)], 6, 1) == frames[1]).all()
     flat = np.full((12, 32), 1 / 32)
     flat[6:, 0] += 0.9
     assert avi.shots(flat / flat.sum(axis=1, keepdims=True)) == [(0, 6), (6, 12)]
@@ -238,8 +311,82 @@ def test_media(docs, none):
         want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert listed(avi.media_rows(docs), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
     assert avi.media_rows(none).count() == 0
-    media = docs.sparkSession.createDataFrame([(1, bytearray(avi.avi(payload))), (2, None), (3, bytearray(b"x"))], "id long, media binary")
-    assert {r["id"] for r in avi.clips(media).collect()} == {1}
+    rows = listed(avi.media_rows(docs), "doc_id", "media_bytes", "media_sha256", "feature")
+    for (i, t), g in zip(sorted(ROWS, key=lambda r: repr(r[0])), sorted(rows, key=lambda r: repr(r[0]))):
+        if i != 8:
+            raw = (t or "").encode()
+            file = avi.avi(raw + b"\0" * (-len(raw) % 64 if raw else 64))
+            hist = avi.histograms([avi.coefficients(f)[0] for f in avi.parse(file).frames])
+            assert g == (i, len(file), hashlib.sha256(file).hexdigest(), f"{len(hist)}|" + " ".join(f"{a}-{b}:{hist[a:b].mean(axis=0).max():.4f}" for a, b in avi.shots(hist)))
+
+
+def colour_frame(r, width, height, with_tables):
+    """A 4:2:0 baseline JPEG of random coefficients in the standard's Huffman tables, and its luma blocks."""
+    codes = {k: {s: c for c, s in avi._codes(t).items()} for k, t in avi.DEFAULT_TABLES.items()}
+    bits, luma, last = [], [], [0, 0, 0]
+
+    def put(n, value):
+        bits.extend((value >> (n - 1 - i)) & 1 for i in range(n))
+
+    def amount(v):
+        n = abs(v).bit_length()
+        return n, v if v >= 0 else v + (1 << n) - 1
+
+    for _ in range(-(-width // 16) * -(-height // 16)):
+        for part, blocks in ((0, 4), (1, 1), (2, 1)):
+            for _ in range(blocks):
+                block = np.zeros(64, int)
+                block[0] = r.integers(-300, 300)
+                block[r.choice(np.arange(1, 64), 5, replace=False)] = r.integers(-40, 40, 5)
+                if part == 0:
+                    luma.append(block * 3)
+                n, v = amount(int(block[0]) - last[part])
+                last[part] = int(block[0])
+                size, code = codes[0 if part == 0 else 1][n]
+                put(size, code), put(n, v)
+                run = 0
+                for x in block[1:].tolist():
+                    if not x:
+                        run += 1
+                        continue
+                    while run > 15:
+                        put(*codes[0x10 if part == 0 else 0x11][0xF0])
+                        run -= 16
+                    n, v = amount(x)
+                    put(*codes[0x10 if part == 0 else 0x11][16 * run + n]), put(n, v)
+                    run = 0
+                if run:
+                    put(*codes[0x10 if part == 0 else 0x11][0])
+    bits += [1] * (-len(bits) % 8)
+    scan = np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+    tables = b"".join(avi._segment(0xC4, bytes([k]) + t) for k, t in avi.DEFAULT_TABLES.items()) if with_tables else b""
+    frame = b"\xff\xd8" + avi._segment(0xE0, b"AVI1") + avi._segment(0xDB, bytes([0]) + bytes([3] * 64) + bytes([1]) + bytes([5] * 64))
+    frame += avi._segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1])) + tables
+    return frame + avi._segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9", np.array(luma)
+
+
+def test_clips_of_colour_movies(spark):
+    r = np.random.default_rng(5)
+    for with_tables in (True, False):
+        frame, luma = colour_frame(r, 40, 24, with_tables)
+        found, width, height = avi.coefficients(frame)
+        assert (width, height) == (40, 24) and (found == luma).all()
+
+    def chunk(name, body):
+        return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+    a, b = colour_frame(r, 32, 16, False)[0], avi.jpeg(b"\xff" * 64 * 8)
+    movi = lambda frames: chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames))
+    avih = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<10I16x", 100_000, 0, 0, 0, 4, 0, 1, 0, 32, 16)))
+    long = chunk(b"RIFF", b"AVI " + avih + movi([a] * 6)) + chunk(b"RIFF", b"AVIX" + movi([b] * 4))
+    progressive = a.replace(b"\xff\xc0", b"\xff\xc2")
+    payload = os.urandom(64 * 70)
+    media = [(1, bytearray(avi.avi(payload))), (2, None), (3, bytearray(b"x")), (4, bytearray(long)), (4, bytearray(long)), (5, bytearray(chunk(b"RIFF", b"AVI " + movi([progressive])))), (6, bytearray(chunk(b"RIFF", b"AVI " + movi([]))))]
+    df = spark.createDataFrame([(*m, 7, "x") for m in media], "id long, media binary, clip int, error string")
+    got = avi.clips(df).collect()
+    assert [(r["clip"], r["first_frame"], r["end_frame"], round(r["start_s"], 3), round(r["end_s"], 3)) for r in got if r["id"] == 4] == [(0, 0, 6, 0.0, 0.6), (1, 6, 10, 0.6, 1.0)] * 2
+    assert {r["id"]: r["error"] is None for r in got} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
+    assert avi.clips(df.limit(0)).count() == 0
 
 
 def test_quality(spark, docs, none):
@@ -255,6 +402,130 @@ def test_quality(spark, docs, none):
     assert quality_scores(none, labels).count() == 0
 
 
+def quality_by_force(rows, labels):
+    """Scores from features and densities written out for one document at a time."""
+
+    def features(text):
+        raw = (text or "").encode()
+        share = lambda chars: math.sqrt(sum(b in chars for b in raw) / max(len(raw), 1))
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+        low = [w.lower() for w in words]
+        some, c = max(len(words), 1), Counter(low)
+        root = lambda n: math.sqrt(n / some)
+        kinds = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"|", b"*$#%&@^~=+<>{}[]\\", b"0123456789", bytes(range(128, 256)), b".,;:", b"\n"]
+        return [math.log1p(len(raw)), math.log1p(len(words)), math.log1p(sum(map(len, words)) / some), *map(share, kinds),
+                root(len(c)), root(sum(a == b for a, b in zip(low, low[1:]))), root(max(c.values(), default=0)), root(sum(w.endswith(b".") for w in words))]
+
+    x = {i: np.array(features(t)) for i, t in rows}
+    train = [(x[i], q) for i, q in labels if q in (0, 1) and i in x and zlib.crc32(str(i).encode()) % 5]
+    groups = [np.array([f for f, q in train if q == k]) for k in (0, 1)]
+    covs = [np.cov(g.T, bias=True) for g in groups]
+    pooled = np.diag(np.maximum(sum(len(g) * np.diag(c) for g, c in zip(groups, covs)) / len(train), 1e-4))
+    out = []
+    for i, _ in rows:
+        d = []
+        for g, c in zip(groups, covs):
+            s = 0.9 * c + 0.1 * pooled + 1e-4 * np.eye(len(c))
+            r = x[i] - g.mean(axis=0)
+            d.append(math.log(len(g) / len(train)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * r @ np.linalg.solve(s, r))
+        out.append((i, zlib.crc32(str(i).encode()) % 5 == 0, 1 / (1 + math.exp(min(500, max(-500, d[0] - d[1]))))))
+    return out
+
+
+def test_quality_by_force(spark):
+    d, l = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    want = sorted(quality_by_force([(r["doc_id"], r["text"]) for r in d.collect()], [(r["doc_id"], r["quality"]) for r in l.collect()]))
+    got = listed(QUERIES["op8_quality"](spark, SF), "doc_id", "held_out", "score", "predicted")
+    got.sort()
+    assert [(g[0], g[1]) for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-6 and g[3] == (g[2] >= 0.3) for g, w in zip(got, want))
+
+
+def licenses_by_force(text):
+    """n_words, places, first, last, base labels and labels, by looking at every line and every run of words."""
+    low = (text or "").translate(LOW)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words, base, places = re.findall(word, low), set(), []
+    for phrase, label in {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}.items():
+        p = phrase.split()
+        hits = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += hits
+        base |= {label} if hits else set()
+    labels = set(base)
+    blocks = [re.findall(word, line) for line in low.split("\n")]
+    for label, template in licenses.TEMPLATES:
+        t = licenses.words_of(template)
+        own, longest = set(t), len(t) + max(4, len(t) // 4)
+        for b in blocks + [words[i : i + longest] for i in range(len(words))]:
+            if len(own.intersection(b)) >= math.ceil(licenses.CONTAINED * len(own) - 1e-9):
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels))
+
+
+def test_licenses_by_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
+    assert listed(QUERIES["op9_licenses"](spark, SF), *columns) == sorted(((i, *licenses_by_force(t)) for i, t in rows), key=repr)
+    r, made = np.random.default_rng(8), []
+    for i in range(120):  # notices with words left out, changed or put in, wrapped at any width
+        label, text = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = [x for x in text.split() if r.random() > 0.06 * (i % 4)]
+        for k in r.integers(0, len(w), i % 5):
+            w.insert(int(k), "other")
+        made.append((i, "first line\n" + textwrap.fill(" ".join(w), int(r.integers(20, 90))) + ("\nunder the MIT license and under the MIT License" if i % 3 == 0 else "")))
+    got = listed(license_scan(spark.createDataFrame(made, "doc_id long, text string")), *columns)
+    assert got == sorted(((i, *licenses_by_force(t)) for i, t in made), key=repr) and sum(bool(g[6]) for g in got) > 40
+
+
+def secrets_by_force(text, forest):
+    """(start, end) and score of every candidate, one character and one tree at a time."""
+    text, spots = text or "", set()
+    blocks = [m.span() for m in re.finditer(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", text, re.S)]
+    for m in re.finditer(r"[A-Za-z0-9+/_.\-]+", text):
+        if any(lo <= m.start() < hi for lo, hi in blocks):
+            continue
+        if len(m[0]) >= 20 or (len(m[0]) >= 10 and re.search("[0-9]", m[0])):
+            value = m[0].strip(".-/")
+            if len(value) >= 10:
+                lo = m.start() + m[0].index(value)
+                spots.add((lo, lo + len(value)))
+    at = 0
+    while key := re.compile(secrets.KEY.pattern.decode(), re.A).search(text, at):
+        at = key.end()
+        if not (found := re.compile(secrets.VALUE.pattern.decode(), re.A).match(text, at)):
+            continue
+        lo, hi = found.span(found.lastindex)
+        if found.lastindex == 3:
+            while hi > lo and (text[hi - 1] in ",;.\"'" or (text[hi - 1] in ")]}>" and text[lo:hi].count({")": "(", "]": "[", "}": "{", ">": "<"}[text[hi - 1]]) < text[lo:hi].count(text[hi - 1]))):
+                hi -= 1
+        if lo < hi and not text.startswith("-----BEGIN", lo):
+            spots.add((lo, hi))
+    out = [(lo, hi, 1.0) for lo, hi in blocks]
+    for lo, hi in spots:
+        before = text[:lo].encode()[-secrets.AROUND :].decode("utf-8", "ignore")
+        x, total = secrets.describe(text[lo:hi], before, text[hi:].encode()[: secrets.AROUND].decode("utf-8", "ignore")), 0.0
+        for feature, cut, left, right, share in forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = int(left[node] if x[feature[node]] <= cut[node] else right[node])
+            total += share[node]
+        out.append((lo, hi, total / len(forest.trees)))
+    return out
+
+
+def test_secrets_by_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    forest = secrets.trained()
+    want = sorted((i, *c) for i, t in rows for c in secrets_by_force(t, forest))
+    got = sorted(listed(QUERIES["op10_secrets"](spark, SF), "doc_id", "start", "end", "score", "secret", "value_sha256"))
+    texts = dict(rows)
+    assert len(got) > 10 and [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want))
+    assert all(g[4] == (g[3] >= 0.5) and g[5] == hashlib.sha256(texts[g[0]][g[1] : g[2]].encode()).hexdigest() for g in got)
+    odd = [(1, "token = " + "Q" * 300 + "x" * 300), (2, "é api_key: 'a b\\' c1' ; x=" + "ab1" * 9 + "."), (3, "-----BEGIN PRIVATE KEY-----\nA1" + "b2" * 30 + "\n-----END PRIVATE KEY----- password=(x{y1})")]
+    got = sorted(listed(secrets.secret_scan(spark.createDataFrame(odd, "doc_id long, text string")), "doc_id", "start", "end"))
+    assert got == sorted((i, lo, hi) for i, t in odd for lo, hi, _ in secrets_by_force(t, forest)) and {g[0] for g in got} == {1, 2, 3}
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r for r in license_scan(docs).collect()}
     assert (got[10]["base_labels"], got[10]["labels"], got[10]["first_word"], got[10]["last_word"], got[10]["n_base"]) == ("cc-by-nc", "cc-by-nc,gpl", 2, 2, 1)
@@ -301,15 +572,34 @@ def test_secrets_behind_keys(spark):
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    good = [i for i, _, score in quality_by_force(rows, labels) if score >= 0.3]
+    rows = [r for r in rows if r[0] in set(good)]
+    keep = {}
+    for i, t in rows:
+        n = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        keep[n] = min(keep.get(n, (1, 0)), (-len(t or ""), i))
+    exact = [r for r in rows if r[0] in {i for _, i in keep.values()}]
+    near = [(i, t) for (i, t), (_, _, c) in zip(exact, near_by_force(exact, 5)) if i == c]
+    forest, clean = secrets.trained(), []
+    for i, t in near:
+        spots, last, parts = sorted((lo, hi) for lo, hi, score in secrets_by_force(t, forest) if score >= 0.5), 0, []
+        for lo, hi in spots:
+            if lo >= last:
+                parts.append((t or "")[last:lo])
+            last = max(last, hi)
+        clean.append((i, "<secret>".join([*parts, (t or "")[last:]]) if spots else t))
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:4], (rows, exact, near, clean)):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
-        ids = {r["doc_id"] for r in out.collect()}
-        if name == "near_dedup":
-            assert ids == {i for i, _, c in near_by_force(rows, 5) if i == c}
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {i for i, _ in rows}
+        found = out.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(want)
+        docs = spark.createDataFrame(found, docs.schema)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(pieces_by_force(clean, Tokenizer.from_file(WORD)))
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
