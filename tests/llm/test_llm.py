@@ -124,6 +124,20 @@ def test_borderline_pairs_are_found(spark):
     assert got == 150
 
 
+def test_rows_without(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm.common import without, written
+
+    docs = spark.createDataFrame([*((i % 500, f"t{i}") for i in range(2000)), (None, "a"), (None, "b")], "doc_id long, text string")
+    gone = written(docs.where("doc_id % 7 = 0 or text = 'b'").where("text not like '%9'").withColumnsRenamed({"doc_id": "i", "text": "t"}))
+    match = docs["doc_id"].eqNullSafe(gone["i"]) & (docs["text"] == gone["t"])
+    want = listed(docs.join(gone, match, "left_anti"), "doc_id", "text")
+    for most in (1 << 25, 128):  # a bitmap with few hits, and one that is full
+        assert listed(without(docs, gone, docs["doc_id"], F.col("i"), match, most), "doc_id", "text") == want
+    assert without(docs, written(gone.limit(0)), docs["doc_id"], F.col("i"), match).count() == 2002
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     got = dict(listed(components(spark.createDataFrame(path, "a long, b long")), "node", "label"))

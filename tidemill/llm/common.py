@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import dropped, written  # noqa: F401  used throughout the subpackage
 
@@ -51,3 +52,25 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
 
 def binaries(blobs: list[bytes | None]) -> pa.Array:
     return pa.array(blobs, pa.binary())
+
+
+BITS = 1 << 25  # of a bitmap that goes to all tasks: 4 MB
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column, gone_key: Column, matched: Column, most: int = BITS) -> DataFrame:
+    """docs less the rows that match a row of `gone`, a written table, without moving the rows that can't.
+
+    A bitmap of the hashed keys of `gone` (16 bits a row, `most` at the most, so that its size is fixed) goes to all tasks. A row
+    whose key's bit isn't set stays where it is; only the others meet `gone` in an anti-join. Beyond some millions of rows in
+    `gone` the bitmap fills and more rows move, up to all of them, with the same result. docs is read twice.
+    """
+    n = gone.count()
+    if not n:
+        return docs
+    bits = min(most, 1 << (16 * n + 1024).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    set_ = gone.select(place(gone_key).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
+    each = docs.sparkSession.range(bits >> 6).join(set_, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    words = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("words"))
+    bit = F.getbit(F.get(written(words).scalar(), F.shiftright(place(key), 6).cast("int")), place(key).bitwiseAND(63).cast("int"))
+    return docs.where(bit == 0).unionByName(docs.where(bit == 1).join(gone, matched, "left_anti"))

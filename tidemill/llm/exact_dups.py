@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, without, written
 
 SUPPORT = 0.001
 WHITE = " \t\n\x0b\x0c\r"
@@ -61,9 +61,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     def matched(other: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(other["doc_id"]) & (sha == other["text_sha256"])
 
+    key = F.col("doc_id")
     if repeated.isEmpty():
-        return docs.join(gone, matched(gone), "left_anti")
-    once = docs.join(repeated, matched(repeated), "left_anti").join(gone, matched(gone), "left_anti")
+        return without(docs, gone, docs["doc_id"], key, matched(gone))
+    both = written(gone.unionByName(repeated))
+    once = without(docs, both, docs["doc_id"], key, matched(both))
     # a winner's own rows, few and alike: the best of each by one sort-free aggregate
     again = docs.join(repeated, matched(repeated), "left_semi").select(docs["doc_id"].alias("doc_id"), sha.alias("sha"), F.struct((-F.length(F.coalesce(docs["text"], F.lit("")))).alias("n"), docs["text"].alias("t"), F.struct(*docs.columns).alias("row")).alias("x"))
     return once.unionByName(again.groupBy("doc_id", "sha").agg(F.min("x").alias("x")).select("x.row.*"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..storage import settings
-from .common import binaries, dropped, slices, tune, written
+from .common import binaries, dropped, slices, tune, without, written
 from .text import GOLD, U, mix, shingle_sets
 
 K = 64  # values in a sketch
@@ -442,6 +442,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         return id_.eqNullSafe(other["doc_id"]) & (F.xxhash64(text) == other["text_hash"]) & (F.octet_length(text) == other["size"])
 
     if repeated.isEmpty():
-        return docs.join(gone, matched(gone), "left_anti")
-    once = docs.join(repeated, matched(repeated), "left_anti").join(gone, matched(gone), "left_anti")
+        return without(docs, gone, id_, F.col("doc_id"), matched(gone))
+    both = written(gone.unionByName(repeated))
+    once = without(docs, both, id_, F.col("doc_id"), matched(both))
     return once.unionByName(docs.join(repeated, matched(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
