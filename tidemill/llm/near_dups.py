@@ -42,6 +42,7 @@ NEAR = 0.55  # estimates from here on are looked into; five deviations below 0.8
 ELL = 8  # values that a linked pair shares in its lists, by lists longer by as many less one
 SHORT = 32  # nodes of a list that is expanded to pairs
 MOST = 4 << 20  # bytes of texts, or of their shingle sets, that meet in one task
+ROWS = 200_000  # of a table of numbers that is broadcast, some 10 MB
 #: Spark's own runtime filter, 8 MB at most, keeps texts outside of tentative groups out of the shuffle. At more documents
 #: than it can tell apart it lets more texts pass, and the results stay the same.
 BLOOM = {
@@ -53,6 +54,11 @@ BLOOM = {
 }
 
 
+def _beside(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, for a join with texts or sketches: broadcast up to ROWS rows, else joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= ROWS else table
+
+
 def _digest(values: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -147,18 +153,19 @@ def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
             yield batch.select([0, 1]).filter(pa.array(hits >= NEAR * k))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x, y = (sketched.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        found = sketched.join(_beside(ids), "node")
+        x, y = (found.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
     return confirm
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, label, hi, lo, text of the rows in wanted (key, node, label, hi, lo); other texts under the same key come along."""
+    """node, label, hi, lo, small, text of the rows in wanted; other texts under the same key come along."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(row_key().alias("key"), "text")
-    # true of every group: Spark makes its Bloom filter only from a side that has a comparison. A side below the session's
-    # broadcast threshold, by the size of its files, is broadcast instead, and no text moves.
-    return texts.join(wanted.where("total > 0"), "key").select("node", "label", "hi", "lo", "text")
+    # true of every group: Spark makes its Bloom filter only from a side that has a comparison
+    return texts.join(_beside(wanted).where("total > 0"), "key").select("node", "label", "hi", "lo", "small", "text")
 
 
 def exact_links(texts: list[bytes], width: int, percent: int, known: list | None = None) -> np.ndarray:
@@ -311,8 +318,8 @@ def _in_blocks(texts: DataFrame, groups: DataFrame, width: int, percent: int, mo
     # a quarter of `most` as pivots, chosen by hash
     pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (most // 4) / F.col("total")
     cells = rows.select("node", F.explode(F.when(pivot, every).otherwise(F.array(block))).alias("block"), "label")
-    cell = F.xxhash64("label", "block").alias("label")
-    found = _together(texts.join(cells.select("node", cell), "node"), width, percent)
+    cells = written(cells.select("node", F.xxhash64("label", "block").alias("label")))
+    found = _together(texts.join(_beside(cells), "node"), width, percent)
     merged = components(found.toDF("a", "b"))
     dropped(found)
     rows = rows.join(merged.withColumnRenamed("label", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
@@ -324,8 +331,8 @@ def _in_blocks(texts: DataFrame, groups: DataFrame, width: int, percent: int, mo
     place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     ask = rows.where("asks").select("node", "label", "known", place.alias("part"), F.explode(every).alias("block"))
     answer = rows.select("node", "label", "known", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"))
-    both = ask.union(answer).select("node", F.xxhash64("label", "part", "block").alias("label"), "known").distinct()
-    more = _together(texts.join(both, "node"), width, percent)
+    both = written(ask.union(answer).select("node", F.xxhash64("label", "part", "block").alias("label"), "known").distinct())
+    more = _together(texts.join(_beside(both), "node"), width, percent)
     out = components(more.union(merged).toDF("a", "b"))
     dropped(more, asked)
     return out
@@ -403,9 +410,8 @@ def _settled(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most:
         if not large:
             return _together(_texts(docs, wanted), width, percent)
         texts = written(_texts(docs, wanted))
-    small = wanted.where("small").select("node")
-    labels = _together(texts.join(small, "node"), width, percent)
-    rest = texts.join(wanted.where("not small").select("node"), "node")
+    labels = _together(texts.where("small"), width, percent)
+    rest = texts.where("not small").select("node", "label", "hi", "lo", "text")
     sets = written(_sets(rest, width))
     entries = _entries(sets, "shingles", f"cast(ceil({percent} * n / 100) as long)", True)
     found = _tentative(entries, percent, None)
@@ -414,8 +420,9 @@ def _settled(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most:
     again = written(member.join(sizes, "label").withColumn("small", F.col("total") <= most).drop("total"))
     dropped(entries, found)
     rest = rest.drop("label")
-    labels = labels.union(_together(rest.join(again.where("small").select("node", "label"), "node"), width, percent))
-    huge = again.where("not small").select("node", "label", "bytes")
+    few = written(again.where("small").select("node", "label"))
+    labels = labels.union(_together(rest.join(_beside(few), "node"), width, percent))
+    huge = written(again.where("not small").select("node", "label", "bytes"))
     if not huge.isEmpty():
         labels = labels.union(_in_blocks(rest, huge, width, percent, most))
     return labels
