@@ -136,7 +136,7 @@ class Lattice:
             out.append((piece, weight))
         return out
 
-    def _groups(self, words: list[str], longest: int = 48, rows: int = 2048):
+    def _groups(self, words: list[str], longest: int = 256, rows: int = 4096):
         """Indexes and code points of words of one length; longer words come with none."""
         size = np.array([len(w) + 1 for w in words])
         for n in np.unique(size).tolist():
@@ -189,6 +189,18 @@ class Lattice:
         return total
 
 
+def _gathered(batches, rows: int = 20_000):
+    """Batches of about `rows` words: arrays work best on many words of one length."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _piece_counts(words: DataFrame, model) -> dict[int, float]:
     """How often the existing model uses each of its pieces in the training words."""
 
@@ -213,9 +225,8 @@ def _expected(words: DataFrame, lattice) -> np.ndarray:
 
     def run(batches):
         total = 0
-        for batch in batches:
-            if batch.num_rows:
-                total = total + lattice.value.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+        for batch in _gathered(batches):
+            total = total + lattice.value.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
         if not np.isscalar(total):
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["i", "c"])
@@ -285,10 +296,9 @@ def lm_scores(docs: DataFrame, vocabulary: str, most: int = WORDS, share: float
     lattice = spark.sparkContext.broadcast(trained_lattice(words, model_bytes, spark.sparkContext.broadcast(model_bytes)))
 
     def weigh(batches):
-        for batch in batches:
-            if batch.num_rows:
-                lp = mixed(lattice.value.many(batch.column(1).to_pylist()), batch.column(2).to_numpy(), count, share)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lp, pa.float64())], ["h", "c", "t", "lp"])
+        for batch in _gathered(batches):
+            lp = mixed(lattice.value.many(batch.column(1).to_pylist()), batch.column(2).to_numpy(), count, share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lp, pa.float64())], ["h", "c", "t", "lp"])
 
     weighed = written(words.select("h", "word", "c", "t").mapInArrow(weigh, "h long, c long, t long, lp double"))
     frequent = F.col("t") >= max(2, -(-everything // most))
