@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ class Graph:
         return self.edges.join(s, "src").join(d, "dst")
 
     def reverse(self) -> Graph:
-        return Graph(self.vertices, self.edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+        other = [c for c in self.edges.columns if c not in ("src", "dst")]
+        return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *other))
 
     def subgraph(self, vertex: Column | str | None = None, edge: Column | str | None = None) -> Graph:
         v = self.vertices if vertex is None else self.vertices.where(vertex)
@@ -57,15 +59,47 @@ class Graph:
     def join_vertices(self, table: DataFrame, how: str = "left") -> Graph:
         return Graph(self.vertices.join(table, "id", how), self.edges)
 
-    def aggregate_messages(self, to_dst: Column | None, to_src: Column | None, aggregate: Callable[[Column], Column]) -> DataFrame:
-        """id, message: messages over src_attr, dst_attr and the edge, combined map-side at each receiver."""
-        t, sent = self.triplets(), None
-        for who, message in (("dst", to_dst), ("src", to_src)):
-            if message is not None:
-                rows = t.select(F.col(who).alias("id"), message.alias("m"))
-                sent = rows if sent is None else sent.union(rows)
+    def aggregate_messages(self, to_dst: Column | None, to_src: Column | None, aggregate: Callable[[Column], Column], active: DataFrame | None = None, direction: str = "either") -> DataFrame:
+        """id, message: messages over src_attr, dst_attr and the edge, combined map-side at each receiver.
+
+        active: ids of the vertices whose edges count, by their src (out), their dst (in), either or both ends. With messages
+        both ways the triplets are joined once and give both from one row.
+        """
+        g = self
+        if active is not None:
+            ids = active.select("id").distinct().withColumn("__on", F.lit(True))
+            e = self.edges.join(ids.toDF("src", "__s"), "src", "left").join(ids.toDF("dst", "__d"), "dst", "left")
+            s, d = F.col("__s").isNotNull(), F.col("__d").isNotNull()
+            g = Graph(self.vertices, e.where({"out": s, "in": d, "either": s | d, "both": s & d}[direction]).drop("__s", "__d"))
+        sides = [F.struct(F.col(who).alias("id"), message.alias("m")) for who, message in (("dst", to_dst), ("src", to_src)) if message is not None]
+        sent = g.triplets().select(F.inline(F.array(*sides)))
         return sent.where("m is not null").groupBy("id").agg(aggregate(F.col("m")).alias("message"))
 
+    def map_vertices(self, **columns: Column) -> Graph:
+        return Graph(self.vertices.withColumns(columns), self.edges)
+
+    def map_edges(self, **columns: Column) -> Graph:
+        return Graph(self.vertices, self.edges.withColumns(columns))
+
+    def map_triplets(self, **columns: Column) -> Graph:
+        """Edge columns from the edge and both ends (src_attr, dst_attr)."""
+        return Graph(self.vertices, self.triplets().withColumns(columns).drop("src_attr", "dst_attr"))
+
+    def filtered(self, prepare: Callable[[Graph], Graph], vertex: Column | str | None = None, edge: Column | str | None = None) -> Graph:
+        """The vertices and edges that a condition on a prepared graph (one with degrees, say) leaves, with this graph's own columns."""
+        return self.mask(prepare(self).subgraph(vertex, edge))
+
+    def edges_of(self, direction: str = "either") -> DataFrame:
+        """id, edges: each vertex's edges out, in, or either way."""
+        e = F.struct(*self.edges.columns)
+        sides = [self.edges.select(F.col(c).alias("id"), e.alias("e")) for c, use in (("src", direction != "in"), ("dst", direction != "out")) if use]
+        rows = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
+        return rows.groupBy("id").agg(F.collect_list("e").alias("edges"))
+
+    def random_vertex(self, seed: int = 42):
+        row = self.vertices.select("id").orderBy(F.xxhash64("id", F.lit(seed))).first()
+        return None if row is None else row[0]
+
     def neighbours(self) -> DataFrame:
         """id, neighbours (sorted, distinct, either direction)."""
         both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).distinct()
@@ -122,16 +156,82 @@ class Graph:
             left = Graph(written(left.vertices.join(ids, "id", "left_anti")), written(left.edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti")))
         return left.vertices.select("id", F.col("id").alias("component")) if done is None else done
 
-    def pagerank(self, rounds: int, reset: float = 0.15) -> DataFrame:
-        """id, rank: unnormalised ranks that start at 1."""
-        out = self.edges.groupBy("src").agg(F.count("*").alias("n"))
-        weighted = written(self.edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")))
-        ranks = self.vertices.select("id", F.lit(1.0).alias("rank"))
-        for _ in range(rounds):
+    def pagerank(self, rounds: int | None = None, reset: float = 0.15, tolerance: float | None = None) -> DataFrame:
+        """id, rank: unnormalised ranks that start at 1; a given number of rounds, or until no rank moves by more than `tolerance`."""
+        if (rounds is None) == (tolerance is None):
+            raise ValueError("either rounds or a tolerance")
+        edges = written(self.edges.select("src", "dst"))
+        ids = written(self.vertices.select("id").distinct())
+        out = edges.groupBy("src").agg(F.count("*").alias("n"))
+        weighted = written(edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")))
+        dropped(edges)
+        ranks = ids.select("id", F.lit(1.0).alias("rank"))
+        for _ in itertools.count() if rounds is None else range(rounds):
             sums = weighted.join(ranks.toDF("src", "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("s"))
-            ranks = written(self.vertices.select("id").join(sums, "id", "left").select("id", (reset + (1 - reset) * F.coalesce("s", F.lit(0.0))).alias("rank")))
+            new = (reset + (1 - reset) * F.coalesce("s", F.lit(0.0))).alias("rank")
+            if tolerance is None:
+                moved = written(ids.join(sums, "id", "left").select("id", new))
+            else:
+                moved = written(ranks.withColumnRenamed("rank", "old").join(sums, "id", "left").select("id", new, "old"))
+                if moved.where(F.abs(F.col("rank") - F.col("old")) > tolerance).isEmpty():
+                    return moved.select("id", "rank")
+            dropped(ranks)
+            path, ranks = moved, moved.select("id", "rank")
+            ranks._tidemill_path = path._tidemill_path  # type: ignore[attr-defined]
         return ranks
 
+    def supersteps(self, start: Column, send: Callable[[Column, Column], Column], combine: Callable[[Column], Column], compute: Callable[[Column, Column, Column], Column], total: Callable[[Column], Column], most: int) -> DataFrame:
+        """id, value: like pregel, with one aggregate over all values before each step: compute(value, message or null, aggregate)."""
+        values = written(self.vertices.select("id", start.alias("value")))
+        edges = written(self.edges.select("src", "dst"))
+        for _ in range(most):
+            (everything,) = values.agg(total(F.col("value"))).first()
+            t = edges.join(values.toDF("src", "sv"), "src").join(values.toDF("dst", "dv"), "dst")
+            sent = t.select("dst", send(F.col("sv"), F.col("dv")).alias("m")).where("m is not null").groupBy(F.col("dst").alias("id")).agg(combine(F.col("m")).alias("m"))
+            moved = written(values.join(sent, "id", "left").select("id", compute(F.col("value"), F.col("m"), F.lit(everything)).alias("value"), F.col("value").alias("old")))
+            values = moved.select("id", "value")
+            if moved.where(~F.col("value").eqNullSafe(F.col("old"))).isEmpty():
+                break
+        return values
+
+    def svd_plus_plus(self, rating: str, rank: int = 8, rounds: int = 5, low: float = 0.0, high: float = 5.0, rates: tuple[float, float, float, float] = (0.007, 0.007, 0.005, 0.015), seed: int = 1) -> tuple[DataFrame, float]:
+        """Latent factors of users (src) and items (dst) by batch gradient steps, and the mean rating.
+
+        id, kind (user or item), p (the factors), y (an item's implicit factors, of a user their scaled sum), bias, norm. A
+        rating is predicted as the mean, both biases and the item's p times the user's p and y.
+        """
+        g1, g2, g6, g7 = rates
+        edges = written(self.edges.select("src", "dst", F.col(rating).cast("double").alias("r")))
+        (mean,) = edges.agg(F.avg("r")).first()
+        noise = lambda c, k: F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda i: (F.pmod(F.xxhash64(c, i, F.lit(seed + k)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 0.2)
+        per = lambda c: edges.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n"), F.sum("r").alias("s"))
+        bias, norm = (F.col("s") / F.col("n") - F.lit(mean)).alias("bias"), (1 / F.sqrt(F.col("n"))).alias("norm")
+        users = written(per("src").select("id", noise(F.col("id"), 0).alias("p"), bias, norm))
+        items = written(per("dst").select("id", noise(F.col("id"), 1).alias("p"), noise(F.col("id"), 2).alias("y"), bias))
+        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        times = lambda k, a: F.transform(a, lambda x: k * x)
+        summed = lambda c, name: F.array(*[F.sum(F.col(c)[i]) for i in range(rank)]).alias(name)
+
+        def implicit() -> DataFrame:
+            y = edges.join(items.select(F.col("id").alias("dst"), "y"), "dst").groupBy(F.col("src").alias("id")).agg(summed("y", "y"))
+            return users.join(y, "id").select("id", "p", times(F.col("norm"), F.col("y")).alias("y"), "bias", "norm")
+
+        for _ in range(rounds):
+            u = implicit().select(F.col("id").alias("src"), F.col("p").alias("pu"), F.col("y").alias("yu"), F.col("bias").alias("bu"), "norm")
+            t = edges.join(u, "src").join(items.select(F.col("id").alias("dst"), F.col("p").alias("qi"), F.col("y").alias("yi"), F.col("bias").alias("bi")), "dst")
+            dot = F.aggregate(F.zip_with(F.col("qi"), add(F.col("pu"), F.col("yu")), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            e = F.col("r") - F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.lit(mean) + F.col("bu") + F.col("bi") + dot))
+            t = t.withColumn("e", e)
+            step = lambda up, own: F.zip_with(up, own, lambda x, w: (x - g7 * w) * g2)
+            t = written(t.select("src", "dst", step(times(F.col("e"), F.col("qi")), F.col("pu")).alias("dp"), step(times(F.col("e"), add(F.col("pu"), F.col("yu"))), F.col("qi")).alias("dq"), step(times(F.col("e") * F.col("norm"), F.col("qi")), F.col("yi")).alias("dy"), ((F.col("e") - g6 * F.col("bu")) * g1).alias("du"), ((F.col("e") - g6 * F.col("bi")) * g1).alias("di")))
+            du = t.groupBy(F.col("src").alias("id")).agg(summed("dp", "dp"), F.sum("du").alias("db"))
+            di = t.groupBy(F.col("dst").alias("id")).agg(summed("dq", "dp"), summed("dy", "dy"), F.sum("di").alias("db"))
+            users = written(users.join(du, "id").select("id", add(F.col("p"), F.col("dp")).alias("p"), (F.col("bias") + F.col("db")).alias("bias"), "norm"))
+            items = written(items.join(di, "id").select("id", add(F.col("p"), F.col("dp")).alias("p"), add(F.col("y"), F.col("dy")).alias("y"), (F.col("bias") + F.col("db")).alias("bias")))
+            dropped(t)
+        out = implicit().select("id", F.lit("user").alias("kind"), "p", "y", "bias", "norm")
+        return out.union(items.select("id", F.lit("item"), "p", "y", "bias", F.lit(None).cast("double"))), mean
+
     def triangles(self) -> DataFrame:
         """id, triangles through it. Edges point from fewer to more neighbours, which bounds the pairs a hub can open."""
         both = self.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
@@ -159,6 +259,49 @@ def edge_partition(src: Column, dst: Column, parts: int, strategy: str = "2d") -
     return F.pmod(F.pmod(F.xxhash64(src), F.lit(side)) * side + F.pmod(F.xxhash64(dst), F.lit(side)), F.lit(parts))
 
 
+def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of new whose vertex also stands in old, with another value. Both have id and the same columns."""
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in new.columns if c != "id"]
+    differs = ~reduce(lambda a, b: a & b, same, F.lit(True))
+    return new.alias("n").join(old.alias("o"), F.col("n.id") == F.col("o.id")).where(differs).select("n.*")
+
+
+def with_vertices(vertices: DataFrame, other: DataFrame, how: str = "left", **columns: Column) -> DataFrame:
+    """Vertices joined to another table by id (left or inner); columns, if given, are what is kept beside id."""
+    out = vertices.join(other, "id", how)
+    return out.select("id", *[c.alias(n) for n, c in columns.items()]) if columns else out
+
+
+def by_vertex(vertices: DataFrame, messages: DataFrame, aggregate: Column) -> DataFrame:
+    """id, value: messages (id, ...) of known vertices, aggregated by receiver."""
+    return messages.join(vertices.select("id"), "id", "left_semi").groupBy("id").agg(aggregate.alias("value"))
+
+
+def join_edges(left: DataFrame, right: DataFrame, **columns: Column) -> DataFrame:
+    """Edges that stand in both tables, by (src, dst)."""
+    out = left.join(right, ["src", "dst"])
+    return out.select("src", "dst", *[c.alias(n) for n, c in columns.items()]) if columns else out
+
+
+def rmat(spark, scale: int, edges: int, shares: tuple[float, float, float] = (0.45, 0.15, 0.15), seed: int = 42) -> Graph:
+    """A recursive-matrix graph of 2 ** scale vertices and at most `edges` different edges, without loops."""
+    a, b, c = shares
+    src = dst = F.lit(0).cast("long")
+    for k in range(scale):
+        r = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+        src = src * 2 + F.when(r < a + b, 0).otherwise(1)
+        dst = dst * 2 + F.when((r < a) | ((r >= a + b) & (r < a + b + c)), 0).otherwise(1)
+    e = spark.range(edges).select(src.alias("src"), dst.alias("dst")).where("src <> dst").distinct()
+    return Graph(spark.range(1 << scale), e)
+
+
+def log_normal(spark, vertices: int, mu: float = 4.0, sigma: float = 1.3, seed: int = 42) -> Graph:
+    """Out-degrees by a log-normal distribution (less than the number of vertices), targets at random."""
+    degree = F.least(F.lit(vertices - 1), F.exp(mu + sigma * F.randn(seed)).cast("int"))
+    e = spark.range(vertices).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.greatest(degree, F.lit(0)))).alias("k")).where("k > 0")
+    return Graph(spark.range(vertices), e.select("src", F.pmod(F.xxhash64("src", "k", F.lit(seed)), F.lit(vertices)).alias("dst")))
+
+
 def grid(spark, rows: int, columns: int) -> Graph:
     n = spark.range(rows * columns)
     right = n.where(F.col("id") % columns < columns - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))

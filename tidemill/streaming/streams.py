@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import scratch
 
@@ -22,8 +23,8 @@ def union_tagged(streams: dict[str, DataFrame]) -> DataFrame:
 class StreamQuery:
     """A SQL text (or a function of the batches' DataFrames) over one or more streams and any number of tables."""
 
-    def __init__(self, spark: SparkSession, streams: dict[str, DataFrame], work: str | Callable[..., DataFrame]):
-        self.spark, self.streams, self.work = spark, streams, work
+    def __init__(self, spark: SparkSession, streams: dict[str, DataFrame], work: str | Callable[..., DataFrame], derived: list[tuple[str, str]] | None = None):
+        self.spark, self.streams, self.work, self.derived = spark, streams, work, derived or []
 
     def _result(self, batch: DataFrame) -> DataFrame:
         parts = {next(iter(self.streams)): batch} if len(self.streams) == 1 else {n: batch.where(F.col("__stream") == n).select(f"{n}.*") for n in self.streams}
@@ -31,6 +32,8 @@ class StreamQuery:
             return self.work(**parts)
         for name, df in parts.items():
             df.createOrReplaceTempView(name)
+        for name, text in self.derived:
+            batch.sparkSession.sql(text).createOrReplaceTempView(name)
         return batch.sparkSession.sql(self.work)
 
     def start(self, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None, trigger: dict | None = None):
@@ -52,6 +55,21 @@ class StreamQuery:
         return self.spark.read.option("basePath", path).parquet(path)
 
 
-def incremental(df: DataFrame, name: str, mode: str = "append"):
-    """A streaming DataFrame (watermarks, cross-batch aggregates) into an in-memory table."""
-    return df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def incremental(df: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
+    """A streaming DataFrame with watermarks or cross-batch aggregates, run over all that is there now.
+
+    append: the rows as they became final. complete or update: the newest row set of the last batch, or of each batch with
+    its batch_id. Results go to the shared folder batch by batch; a batch that runs again replaces its own.
+    """
+    path = path or scratch(df.sparkSession)
+    last: list[int] = []
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+        last.append(n)
+
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch_id", LongType())])).option("basePath", path).parquet(path)
+    if mode == "complete":
+        return out.where(F.col("batch_id") == (last[-1] if last else -1)).drop("batch_id")
+    return out.drop("batch_id") if mode == "append" else out

@@ -25,6 +25,7 @@ def windowed(df: DataFrame, batch: str, keys: list[str], aggregates: list[Column
 
 def windowed_sum(df: DataFrame, batch: str, key: str, value: str, length: int, slide: int, last: int, drop_zero: bool = False) -> DataFrame:
     """Sums by key as an invertible window keeps them: a key once seen stays, with 0, unless drop_zero."""
+    df = df.groupBy(batch, key).agg(F.sum(value).alias(value))  # a row for each batch and key before windows copy rows
     sums = windowed(df, batch, [key], [F.sum(value).alias("total")], length, slide, last)
     if drop_zero:
         return sums.where("total <> 0")
