@@ -107,7 +107,8 @@ def _entries(nodes: DataFrame, column: str, shared: str, group: bool = False) ->
 
     values = nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(run, "v long, node long, n long, held long")
     often = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = values.join(often.hint("merge"), "v").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # dealt out by node as plain rows, which are smaller than lists of one row each
+    ranked = values.join(often.hint("merge"), "v").repartition("node").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     ranked = ranked.withColumn("alone", F.col("held") - F.size("vs")).withColumn("shared", F.expr(shared)).withColumn("ell", F.expr(f"least({ELL}, shared)"))
     ranked = ranked.withColumn("take", F.expr("cast(greatest(0, held - shared + ell - alone) as int)"))
     entries = ranked.select("node", "n", "ell", "alone", F.posexplode(F.expr("slice(vs, 1, take)")).alias("i", "x"))
