@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import trimmed, tune
 
 BLOCK, BLOCKS, FPS, BINS = 64, 64, 25, 32
 
@@ -314,7 +314,7 @@ def clips(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "clip", "first_frame", "end_frame", "start_s", "end_s", "error"])
 
-    return media.select(F.col("id").cast("long"), "media").mapInArrow(run, "id long, clip int, first_frame int, end_frame int, start_s double, end_s double, error string")
+    return media.select(F.col("id").cast("long"), "media").mapInArrow(trimmed(run), "id long, clip int, first_frame int, end_frame int, start_s double, end_s double, error string")
 
 
 def media_rows(docs: DataFrame) -> DataFrame:
@@ -351,4 +351,4 @@ def media_rows(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, tune, written
+from .common import binaries, trimmed, tune, written
 from .tokens import CHAR_TO_BYTE, GPT_PATTERN
 
 WORDS = 200_000
@@ -39,7 +39,7 @@ def word_table(docs: DataFrame, definition, most: int = WORDS) -> DataFrame:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), binaries([encoder.piece(w) for w in words])], ["word", "ids"])
 
-    return counts.where(F.col("c") >= least).select("word").mapInArrow(run, "word string, ids binary")
+    return counts.where(F.col("c") >= least).select("word").mapInArrow(trimmed(run), "word string, ids binary")
 
 
 def id_to_piece(definition: str) -> list[bytes]:
@@ -102,4 +102,4 @@ def _apply(docs: DataFrame, vocabulary: str, most: int, schema: str, finish) ->
                 decoded.append(b"".join([piece_of[i] for i in np.frombuffer(ids[-1], "<u4").tolist()]))
             yield pa.RecordBatch.from_arrays(finish(batch.column(0), ids, decoded), names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)

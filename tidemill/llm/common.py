@@ -74,3 +74,21 @@ def without(docs: DataFrame, gone: DataFrame, key: Column, gone_key: Column, mat
     words = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("words"))
     bit = F.getbit(F.get(written(words).scalar(), F.shiftright(place(key), 6).cast("int")), place(key).bitwiseAND(63).cast("int"))
     return docs.where(bit == 0).unionByName(docs.where(bit == 1).join(gone, matched, "left_anti"))
+
+
+def trimmed(run):
+    """An Arrow function whose worker, which Spark keeps for later tasks, gives its free memory back when a task ends."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tune, written
+from .common import slices, trimmed, tune, written
 from .text import GOLD, LOWER, SPACES, U, mix, span_hashes, spans
 
 FOLDS, HELD_OUT, WORDS = 7, 2, 400_000
@@ -68,7 +68,7 @@ def _words(docs: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.select("train", "text").mapInArrow(run, "h long, word string, c long, t long").groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    return docs.select("train", "text").mapInArrow(trimmed(run), "h long, word string, c long, t long").groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 class Lattice:
@@ -216,7 +216,7 @@ def _piece_counts(words: DataFrame, model) -> dict[int, float]:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used].astype(float))], ["i", "c"])
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "i long, c double").groupBy("i").agg(F.sum("c").alias("c"))
+    rows = words.where("c > 0").select("word", "c").mapInArrow(trimmed(run), "i long, c double").groupBy("i").agg(F.sum("c").alias("c"))
     return {r["i"]: r["c"] for r in rows.collect()}  # as many rows as the vocabulary at most
 
 
@@ -231,7 +231,7 @@ def _expected(words: DataFrame, lattice) -> np.ndarray:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["i", "c"])
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).collect()
+    rows = words.where("c > 0").select("word", "c").mapInArrow(trimmed(run), "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).collect()
     out = np.zeros(len(lattice.value.names) + 256)
     for r in rows:  # pieces and bytes at most
         out[r["i"]] = r["c"]
@@ -300,7 +300,7 @@ def lm_scores(docs: DataFrame, vocabulary: str, most: int = WORDS, share: float
             lp = mixed(lattice.value.many(batch.column(1).to_pylist()), batch.column(2).to_numpy(), count, share)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lp, pa.float64())], ["h", "c", "t", "lp"])
 
-    weighed = written(words.select("h", "word", "c", "t").mapInArrow(weigh, "h long, c long, t long, lp double"))
+    weighed = written(words.select("h", "word", "c", "t").mapInArrow(trimmed(weigh), "h long, c long, t long, lp double"))
     frequent = F.col("t") >= max(2, -(-everything // most))
     common = weighed.where(frequent).toArrow()
     order = np.argsort(common.column("h").to_numpy().view(np.uint64))
@@ -329,7 +329,7 @@ def lm_scores(docs: DataFrame, vocabulary: str, most: int = WORDS, share: float
                 row += hi - lo
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n", "k", "b", "s", "rare"])
 
-    rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(score, "row long, doc_id long, held_out boolean, n long, k long, b double, s double, rare array<long>"))
+    rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(trimmed(score), "row long, doc_id long, held_out boolean, n long, k long, b double, s double, rare array<long>"))
     tokens = rows.select("row", F.explode("rare").alias("h"))
     rest = tokens.join(weighed.where(~frequent).select("h", "c", "lp"), "h").groupBy("row")
     rest = rest.agg(F.sum((F.col("c") > 0).cast("long")).alias("k2"), F.sum(F.log10(F.col("c") + 1.0)).alias("b2"), F.sum("lp").alias("s2"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tune
+from .common import slices, trimmed, tune
 from .text import LOWER, NOT_ALNUM, hash_of, span_hashes, spans
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -147,7 +147,7 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
                 counts += np.bincount(i[vocabulary[i] == h], minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(vocabulary.view(np.int64)), pa.array(counts)], ["h", "c"])
 
-    rows = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).collect()
+    rows = docs.select("text").mapInArrow(trimmed(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).collect()
     return {r["h"] % (1 << 64): r["c"] for r in rows}
 
 
@@ -227,4 +227,4 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, contained:
                 yield scan(batch.column(0).slice(lo, hi - lo), data, at)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line: long, label: string, containment: double>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..storage import settings
-from .common import binaries, dropped, slices, tune, without, written
+from .common import binaries, dropped, slices, trimmed, tune, without, written
 from .text import GOLD, U, mix, shingle_sets
 
 K = 64  # values in a sketch
@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.select("doc_id", row_key().alias("key"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, text_hash long, size long, n_shingles long, hi long, lo long, sketch binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, key long, text_hash long, size long, n_shingles long, hi long, lo long, sketch binary")
 
 
 def _entries(nodes: DataFrame, column: str, shared: str, group: bool = False) -> DataFrame:
@@ -105,7 +105,7 @@ def _entries(nodes: DataFrame, column: str, shared: str, group: bool = False) ->
                 v = mix(v + np.repeat(batch.column(3).to_numpy().view(U) * GOLD, held))
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(held).take(of)], ["v", "node", "n", "held"])
 
-    values = nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(run, "v long, node long, n long, held long")
+    values = nodes.select("node", "n", column, *(["label"] if group else [])).mapInArrow(trimmed(run), "v long, node long, n long, held long")
     often = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     # dealt out by node as plain rows, which are smaller than lists of one row each
     ranked = values.join(often.hint("merge"), "v").repartition("node").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
@@ -157,7 +157,7 @@ def _estimated(sketched: DataFrame) -> Callable[[DataFrame], DataFrame]:
         ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         found = sketched.join(_beside(ids), "node")
         x, y = (found.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a long, b long")
 
     return confirm
 
@@ -306,7 +306,7 @@ def _together(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label: each label's texts meet in one task. texts: node, label, hi, lo, text and, if any, known."""
     known = F.col("known") if "known" in texts.columns else F.lit(None).cast("long").alias("known")
     rows = texts.select("node", "label", "hi", "lo", known, "text").repartition("label").sortWithinPartitions("label")
-    return written(rows.mapInArrow(_within(width, percent), "node long, label long"))
+    return written(rows.mapInArrow(trimmed(_within(width, percent)), "node long, label long"))
 
 
 def _in_blocks(texts: DataFrame, groups: DataFrame, width: int, percent: int, most: int) -> DataFrame:
@@ -351,7 +351,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "label", "n", "size", "shingles"])
 
-    return texts.mapInArrow(run, "node long, label long, n long, size long, shingles binary").dropDuplicates(["node"])
+    return texts.mapInArrow(trimmed(run), "node long, label long, n long, size long, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most: int = MOST) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import trimmed, tune, written
 
 LENGTH, END = 4096, 1
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -228,4 +228,4 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
             cols = [*batch.columns[:5], pa.array(base[i] + nth // uses[i]), pa.array(offset[i] + nth % uses[i] * n)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, slices, tune, written
+from .common import dropped, slices, trimmed, tune, written
 from .text import LOWER, SPACES, span_hashes, spans
 
 FEATURES = (
@@ -97,7 +97,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                 x = features(data, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, x array<double>")
 
 
 def train(rows: DataFrame, labels: DataFrame) -> Model:
@@ -112,7 +112,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
                     flat = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), c, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["c", "i", "v"])
 
-    sums = rows.join(marked, "doc_id").select("x", "quality").mapInArrow(run, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v"))
+    sums = rows.join(marked, "doc_id").select("x", "quality").mapInArrow(trimmed(run), "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v"))
     d, moments = len(FEATURES), {}
     for r in sorted(sums.collect()):  # twice 1 + d + d * d rows
         moments.setdefault(r["c"], []).append(r["v"])
@@ -137,7 +137,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(x))], ["doc_id", "score"])
 
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    out = rows.mapInArrow(trimmed(run), "doc_id long, score double")
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -160,4 +160,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
             for lo, hi, data, at in slices(batch.column(at_text)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(model.value.score(features(data, at)) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

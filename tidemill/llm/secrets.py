@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tune
+from .common import slices, trimmed, tune
 from .text import spans
 
 #: Everything but the characters of keys and paths.
@@ -316,7 +316,7 @@ def secret_scan(docs: DataFrame, findings: list[tuple[str, str, str, int]] | Non
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "kind", "score", "secret", "value_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, end long, kind string, score double, secret boolean, value_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, start long, end long, kind string, score double, secret boolean, value_sha256 string")
 
 
 def redact_secrets(docs: DataFrame, cut: float = 0.5, mark: str = "<secret>") -> DataFrame:
@@ -359,4 +359,4 @@ def redact_secrets(docs: DataFrame, cut: float = 0.5, mark: str = "<secret>") ->
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
