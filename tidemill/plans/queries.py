@@ -766,7 +766,7 @@ def graph_generators(spark, sf_dir):
 
 @query("SELECT true AS better, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders)) AS users")
 def graph_svd_plus_plus(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (10_000_000 + F.col("o_orderkey") % 17).alias("dst"), (F.col("o_totalprice") / 100_000).alias("r"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (10_000_000 + F.floor(F.col("o_orderkey") / 8)).alias("dst"), (F.col("o_totalprice") / 100_000).alias("r"))
     g = G.Graph.from_edges(o.groupBy("src", "dst").agg(F.avg("r").alias("r")))
     out, mean = g.svd_plus_plus("r", 4, 3)
     u, i = out.where("kind = 'user'"), out.where("kind = 'item'")

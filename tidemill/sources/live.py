@@ -25,7 +25,27 @@ def kafka(spark: SparkSession, servers: str, topics: str, **options) -> DataFram
 
 
 def replayed(df: DataFrame, batch: str, path: str) -> DataFrame:
-    """A table as a stream: one micro-batch for each value of the integer column `batch`, in ascending order."""
-    for (b,) in sorted(df.select(batch).distinct().collect()):  # one file each; the number of batches, not of rows
-        df.where(F.col(batch) == b).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A table as a stream: one micro-batch for each value of the integer column `batch`, in ascending order.
+
+    The table is read once and written as one file for each value (a micro-batch's rows, as they would have arrived); the
+    files then get ascending times, by which a file stream orders them. Values written to `path` before come first. Rows without
+    a number are in no batch.
+    """
+    spark = df.sparkSession
+    made = f"{path}_made"
+    df.withColumn("__batch", F.col(batch)).repartition("__batch").write.partitionBy("__batch").parquet(made)
+    jvm = spark.sparkContext._jvm
+    to, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(made)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to)
+    last = max([s.getModificationTime() for s in fs.listStatus(to)], default=0)
+    start = max(last + 1000, jvm.java.lang.System.currentTimeMillis() - 10_000_000)
+    folders = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(source) if s.isDirectory() and "=" in s.getPath().getName() and not s.getPath().getName().endswith("__"))
+    for i, (b, folder) in enumerate(folders):  # one file each; the number of batches, not of rows
+        for s in fs.listStatus(folder):
+            if s.getPath().getName().startswith("part-"):
+                target = jvm.org.apache.hadoop.fs.Path(to, f"{start + i}-{s.getPath().getName()}")
+                fs.rename(s.getPath(), target)
+                fs.setTimes(target, start + 1000 * i, -1)
+    fs.delete(source, True)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
