@@ -12,7 +12,21 @@ from .streaming.ddl import StreamDef, alike, parse
 from .streaming.streams import StreamQuery
 
 _MULTI = re.compile(r"\s*from\s+(.*?)\s+(insert\s+(?:into|overwrite)\b.*)$", re.I | re.S)
-_SHELL = re.compile(r"\s*(!|dfs\s|source\s|add\s+(jar|file)s?\s)", re.I)
+_SHELL = re.compile(r"\s*(!|dfs\s)", re.I)
+_SOURCE = re.compile(r"\s*source\s+(\S+?)\s*;?\s*$", re.I)
+
+
+def statements(text: str) -> list[str]:
+    """The statements of a script, without comments."""
+    out, now = [], ""
+    for m in re.finditer(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|;|[^;'\"`/-]+|.", text, re.S):
+        x = m[0]
+        if x == ";":
+            out.append(now.strip())
+            now = ""
+        elif not x.startswith(("--", "/*")):
+            now += x
+    return [s for s in [*out, now.strip()] if s]
 
 
 class Engine:
@@ -96,10 +110,13 @@ class Engine:
     def sql(self, text: str) -> DataFrame | StreamQuery | None:
         """A DataFrame for tables; a StreamQuery, run batch by batch, if the text reads a stream; None for stream DDL.
 
-        FROM t INSERT ... INSERT ... writes every target from one reading of t. Shell and jar commands are refused.
+        FROM t INSERT ... INSERT ... writes every target from one reading of t. SET, ADD JAR and ADD FILE are Spark's own; SOURCE
+        runs a file of statements. Shell commands are refused.
         """
         if _SHELL.match(text):
             raise ValueError("commands of a shell are not part of a query text")
+        if m := _SOURCE.match(text):
+            return self.script("\n".join(r[0] for r in self.spark.read.text(m[1], wholetext=True).collect()))
         ddl = parse(text)
         if ddl:
             return self._ddl(*ddl)
@@ -111,6 +128,13 @@ class Engine:
         base, derived = self._opened(named)
         return StreamQuery(self.spark, base, text, derived)
 
+    def script(self, text: str) -> DataFrame | StreamQuery | None:
+        """Statements divided by semicolons, outside of quotes and comments; the last one's result."""
+        out = None
+        for part in statements(text):
+            out = self.sql(part)
+        return out
+
     def _ddl(self, action: str, d: StreamDef | None, quiet: bool) -> DataFrame | None:
         if action == "show":
             return self.spark.createDataFrame([(n,) for n in sorted(self.streams)], "name string")

@@ -101,6 +101,60 @@ def approx_sum(df: DataFrame, column: str, fraction: float, seed: int = 42, z: f
     return s.select((F.col("s") / fraction).alias("estimate"), (F.col("s") / fraction - half).alias("low"), (F.col("s") / fraction + half).alias("high"))
 
 
+def approx_mean(df: DataFrame, column: str, fraction: float, by: list[str] | None = None, seed: int = 42, z: float = 1.96) -> DataFrame:
+    """by, estimate, low, high of a mean, from a sample."""
+    s = df.sample(fraction=fraction, seed=seed).groupBy(*(by or [])).agg(F.avg(column).alias("estimate"), (z * F.coalesce(F.stddev_samp(column), F.lit(0.0)) / F.sqrt(F.count(column))).alias("__h"))
+    return s.select(*(by or []), "estimate", (F.col("estimate") - F.col("__h")).alias("low"), (F.col("estimate") + F.col("__h")).alias("high"))
+
+
+def approx_counts(df: DataFrame, columns: list[str], fraction: float, seed: int = 42, z: float = 1.96) -> DataFrame:
+    """columns, estimate, low, high: how often each value stands, from a sample; values that the sample lacks have no row."""
+    n = df.sample(fraction=fraction, seed=seed).groupBy(*columns).agg(F.count("*").alias("__n"))
+    half = z * F.sqrt(F.col("__n") * (1 - fraction)) / fraction
+    e = F.col("__n") / fraction
+    return n.select(*columns, e.alias("estimate"), F.greatest(F.lit(0.0), e - half).alias("low"), (e + half).alias("high"))
+
+
+def flat_map(df: DataFrame, fn: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """Any number of rows for each row, by a Python function of it; what a higher-order function or explode can't express."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            rows = [x for r in b.to_pylist() for x in fn(r)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return df.mapInArrow(run, schema)
+
+
+def key_by(df: DataFrame, key: Column) -> DataFrame:
+    """key, value: each row, as a struct, under a computed key."""
+    return df.select(key.alias("key"), F.struct(*df.columns).alias("value"))
+
+
+def map_values(df: DataFrame, change: Callable[[Column], Column], value: str = "value") -> DataFrame:
+    return df.withColumn(value, change(F.col(value)))
+
+
+def flat_map_values(df: DataFrame, change: Callable[[Column], Column], value: str = "value") -> DataFrame:
+    """change gives an array; a row for each of its elements."""
+    return df.withColumn(value, F.explode(change(F.col(value))))
+
+
+def collect_some(df: DataFrame, wanted: Column, value: Column) -> list:
+    """value of the rows for which wanted holds, for the caller."""
+    return [r[0] for r in df.where(wanted).select(value).collect()]
+
+
+def in_order(df: DataFrame, *order: Column):
+    """The rows one by one for the caller, who holds one partition at a time."""
+    yield from df.orderBy(*order).toLocalIterator()
+
+
 def reduce_by_key(df: DataFrame, key: str, value: str, merge: Callable, zero=None) -> DataFrame:
     """key, value: an associative, commutative Python function over each key's values, for what Spark has no aggregate.
 

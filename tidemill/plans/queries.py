@@ -312,9 +312,102 @@ def glom(spark, sf_dir):
     return parts.select(F.explode("items").alias("x")).agg(F.count("*").alias("n"), F.sum("x").alias("s"))
 
 
+@query("SELECT DISTINCT l_returnflag, true AS mean, true AS count FROM lineitem")
+def approx_by_sample(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")  # noqa: E741
+    exact = l.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("m"), F.count("*").alias("n"))
+    mean = C.approx_mean(l, "l_quantity", 0.3, ["l_returnflag"], z=5).toDF("l_returnflag", "e1", "low1", "high1")
+    count = C.approx_counts(l, ["l_returnflag"], 0.3, z=5).toDF("l_returnflag", "e2", "low2", "high2")
+    return exact.join(mean, "l_returnflag").join(count, "l_returnflag").select("l_returnflag", F.col("m").between(F.col("low1"), F.col("high1")).alias("mean"), F.col("n").between(F.col("low2"), F.col("high2")).alias("count"))
+
+
+@query("""SELECT n_nationkey + 1 AS a, n_nationkey - 1 AS s, n_nationkey * 2 AS m, n_nationkey / 2.0::DOUBLE AS d, n_nationkey % 3 AS r, -n_nationkey AS n, n_nationkey > 3 AND NOT n_nationkey >= 20 AS b, n_nationkey = 4 OR n_nationkey <> 5 AS o,
+n_name LIKE '%1%' AS l, regexp_matches(n_name, '2$') AS x, n_nationkey::VARCHAR AS c, n_nationkey IN (1, 2) AS i, n_nationkey BETWEEN 3 AND 5 AS w FROM nation UNION ALL SELECT 0, 0, 0, 0, 0, 0, true, true, true, true, '0', true, true FROM region""")
+def dsl_operations(spark, sf_dir):
+    k, v = F.col("n_nationkey"), F.col("n_name")
+    n = _t(spark, sf_dir, "nation").select(
+        (k + 1).alias("a"), (k - 1).alias("s"), (k * 2).alias("m"), (k / 2).alias("d"), (k % 3).alias("r"), (-k).alias("n"), ((k > 3) & ~(k >= 20)).alias("b"), ((k == 4) | (k != 5)).alias("o"),
+        v.like("%1%").alias("l"), v.rlike("2$").alias("x"), k.cast("string").alias("c"), k.isin(1, 2).alias("i"), k.between(3, 5).alias("w"),
+    )
+    zero, yes = F.lit(0), F.lit(True)
+    r = _t(spark, sf_dir, "region").select(zero, zero, zero, zero.cast("double"), zero, zero, yes, yes, yes, yes, F.lit("0"), yes, yes)
+    return n.unionAll(r)
+
+
+@query("SELECT c_mktsegment AS key, unnest(string_split(lower(c_name), '#')) AS value FROM customer")
+def flow_key_values(spark, sf_dir):
+    keyed = C.key_by(_t(spark, sf_dir, "customer").select("c_name", "c_mktsegment"), F.col("c_mktsegment"))
+    return C.flat_map_values(C.map_values(keyed, lambda v: F.lower(v["c_name"])), lambda v: F.split(v, "#"))
+
+
+@query("SELECT n_nationkey AS k, unnest(range(n_nationkey % 3))::INT AS i FROM nation")
+def flow_flat_map(spark, sf_dir):
+    return C.flat_map(_t(spark, sf_dir, "nation").select("n_nationkey"), lambda r: [(r["n_nationkey"], i) for i in range(r["n_nationkey"] % 3)], "k int, i int")
+
+
+@query("SELECT 3::INT AS fewer, 7::INT AS more, true AS together, (SELECT count(*) FROM orders) AS n, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS some, true AS ordered, (SELECT count(*) FROM orders) AS seen")
+def flow_partitions(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(9)
+    placed = o.repartition(7, "o_custkey")
+    per = placed.withColumn("part", F.spark_partition_id()).groupBy("o_custkey").agg(F.countDistinct("part").alias("p"), F.count("*").alias("n")).agg(F.max("p").alias("p"), F.sum("n").alias("n")).first()
+    some = C.collect_some(_t(spark, sf_dir, "nation"), F.col("n_regionkey") == 1, F.col("n_name"))
+    names = [r["n_name"] for r in C.in_order(_t(spark, sf_dir, "nation"), F.col("n_name"))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        seen.add(sum(1 for _ in rows))
+
+    o.foreachPartition(count)
+    row = (o.coalesce(3).rdd.getNumPartitions(), placed.rdd.getNumPartitions(), bool(per["p"] == 1), per["n"], len(some), names == sorted(names), seen.value)
+    return spark.createDataFrame([row], "fewer int, more int, together boolean, n long, some long, ordered boolean, seen long")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+def flow_kept(spark, sf_dir):
+    """A cached table (read back from memory, in columns) and a written one, each planned on by what follows."""
+    kept = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").persist()
+    kept.count()
+    even = written(kept.where("o_orderkey % 2 = 0"))
+    kept.unpersist()
+    return even.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
 # tables of the catalog
 
 
+@query("SELECT n_nationkey AS K, n_name AS V FROM nation WHERE n_nationkey BETWEEN 3 AND 17")
+def jdbc_table(spark, sf_dir):
+    """Into and out of the embedded database that Spark brings along."""
+    from ..sources.files import jdbc_range
+
+    url, name = f"jdbc:derby:memory:{_named(spark)};create=true", _named(spark).upper()
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("V"))
+    n.coalesce(1).write.jdbc(url, name, properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    return written(jdbc_range(spark, url, name, "K", 3, 17, 4, driver="org.apache.derby.jdbc.EmbeddedDriver"))
+
+
+@query("SELECT n_regionkey AS r, count(*) AS n FROM nation WHERE n_name <> ';' GROUP BY 1")
+def script_of_statements(spark, sf_dir):
+    engine, name = Engine(spark).load(sf_dir, "nation"), _named(spark)
+    path = scratch(spark)
+    text = f"-- two; statements\nSET spark.tidemill.none = 1; CREATE TABLE {name} USING parquet AS SELECT * FROM nation WHERE n_name <> ';';\nSELECT n_regionkey AS r, count(*) AS n FROM {name} GROUP BY n_regionkey;"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    out = written(engine.sql(f"SOURCE {path}"))
+    spark.conf.unset("spark.tidemill.none")
+    engine.sql(f"DROP TABLE {name}")
+    return out
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def table_empty_then_filled(spark, sf_dir):
+    from ..sources.files import empty_table, write_table
+
+    path = scratch(spark)
+    empty_table(spark, path, "r_regionkey int, r_name string")
+    write_table(_t(spark, sf_dir, "region"), path)
+    return spark.read.schema("r_regionkey int, r_name string").parquet(path)
+
+
 def _named(spark) -> str:
     return "t" + scratch(spark).rsplit("/", 1)[1]
 
@@ -596,6 +689,24 @@ def stream_union(spark, sf_dir):
     return StreamQuery(spark, {"rows": both}, "SELECT batch, event_id FROM rows").table().drop("batch_id")
 
 
+@query(f"SELECT {BATCH} AS batch, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2")
+def stream_reduce(spark, sf_dir):
+    def work(ticks):
+        return ticks.groupBy("batch", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+
+    return StreamQuery(spark, {"ticks": _live(spark, sf_dir)}, work).table().drop("batch_id")
+
+
+@query(f"SELECT {BATCH} AS batch, user_id, upper(event_type) AS kind, n_name FROM events JOIN nation ON n_nationkey = user_id % 25 WHERE value > 90 ORDER BY 1")
+def stream_transform_with_table(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+
+    def work(ticks):
+        return ticks.where("value > 90").join(nation, F.col("user_id") % 25 == F.col("n_nationkey")).select("batch", "user_id", F.upper("event_type").alias("kind"), "n_name").sortWithinPartitions("user_id")
+
+    return StreamQuery(spark, {"ticks": _live(spark, sf_dir)}, work).table().drop("batch_id")
+
+
 @query(f"SELECT {BATCH} AS batch, count(*) AS n FROM events WHERE {BATCH} BETWEEN 1 AND 3 GROUP BY 1")
 def stream_slice(spark, sf_dir):
     from ..streaming.state import between
