@@ -18,11 +18,18 @@ from .components import components
 class Graph:
     vertices: DataFrame
     edges: DataFrame
+    derived: bool = False  # vertices are the edges' ends
 
     @staticmethod
     def from_edges(edges: DataFrame) -> Graph:
         ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-        return Graph(ids, edges)
+        return Graph(ids, edges, True)
+
+    def kept(self) -> Graph:
+        """The same graph from written tables: what edges and vertices are made of is computed once."""
+        edges = written(self.edges)
+        vertices = Graph.from_edges(edges).vertices if self.derived else self.vertices
+        return Graph(written(vertices), edges)
 
     @staticmethod
     def from_file(spark, path: str) -> Graph:
@@ -160,11 +167,10 @@ class Graph:
         """id, rank: unnormalised ranks that start at 1; a given number of rounds, or until no rank moves by more than `tolerance`."""
         if (rounds is None) == (tolerance is None):
             raise ValueError("either rounds or a tolerance")
-        edges = written(self.edges.select("src", "dst"))
-        ids = written(self.vertices.select("id").distinct())
+        g = Graph(self.vertices, self.edges.select("src", "dst"), self.derived).kept()
+        edges, ids = g.edges, g.vertices.select("id")
         out = edges.groupBy("src").agg(F.count("*").alias("n"))
         weighted = written(edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")))
-        dropped(edges)
         ranks = ids.select("id", F.lit(1.0).alias("rank"))
         for _ in itertools.count() if rounds is None else range(rounds):
             sums = weighted.join(ranks.toDF("src", "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("s"))
