@@ -6,6 +6,7 @@ import socket
 import struct
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidemill.operators import collections as C
 from tidemill.operators import graph as G
 from tidemill.operators import ml
 from tidemill.operators.components import components
-from tidemill.sources.custom import BlockFile, Pushed, connect, converted_socket
+from tidemill.sources.custom import BlockFile, Pushed, Receiver, Sink, connect, connect_sink, converted_socket
 from tidemill.sources.files import empty_table, jdbc_range, multi_insert, read_table, regex_table, whole_files, write_table
 from tidemill.sources.hadoop import hadoop_file, save_hadoop_file
 from tidemill.sources.live import replayed
@@ -74,6 +75,20 @@ def test_partition_arrays_and_pruning(spark):
     assert sorted(r[0] for r in C.pruned(df, [1, 3]).collect()) == sorted(parts[1] + parts[3])
 
 
+def test_zip_partitions(spark):
+    a, b = spark.range(0, 12, numPartitions=3), spark.range(100, 106, numPartitions=3)
+    sizes = lambda x, y: pa.table({"x": [x.num_rows], "y": [y.num_rows], "least": [min(x["id"].to_pylist())]})
+    assert listed(C.zip_partitions(a, b, sizes, "x long, y long, least long")) == [(4, 2, 0), (4, 2, 4), (4, 2, 8)]
+    with pytest.raises(ValueError):
+        C.zip_partitions(a, spark.range(4, numPartitions=2), sizes, "x long, y long, least long")
+
+
+def test_flat_map(spark):
+    df = spark.createDataFrame([(2, "ab"), (0, None)], "n int, s string")
+    assert listed(C.flat_map(df, lambda r: [(r["s"], i) for i in range(r["n"])], "s string, i int")) == [("ab", 0), ("ab", 1)]
+    assert C.flat_map(df.limit(0), lambda r: [(1,)], "x int").count() == 0
+
+
 def test_rows_for_the_caller(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int")
     assert sorted(C.lookup(df, "k", "a", "v")) == [1, 3] and C.collect_as_map(df, "k", "v") == {"a": 3, "b": 2}
@@ -292,6 +307,46 @@ def test_sources_of_ones_own(spark, tmp_path):
     assert listed(StreamQuery(spark, {"p": pushed.stream()}, "SELECT k FROM p").table().select("k")) == [(1,), (2,), (3,)]
 
 
+def test_receiver_starts_again_and_loses_nothing(spark):
+    tries = []
+
+    def feed(put):
+        tries.append(1)
+        put([(len(tries),)])
+        if len(tries) < 3:
+            raise OSError("gone")
+
+    pushed = Pushed(spark, "k int")
+    r = Receiver(pushed, feed, pause=0.05).start()
+    r.stop()
+    assert len(r.errors) == 2 and listed(StreamQuery(spark, {"p": pushed.stream()}, "SELECT k FROM p").table().select("k")) == [(1,), (2,), (3,)]
+
+
+def test_sink_of_ones_own(spark, tmp_path):
+    class LineFiles(Sink):
+        """Each part as a file of its own, which counts once its batch is done."""
+
+        def __init__(self, options):
+            self.path = options["path"]
+
+        def write(self, rows):
+            name = os.path.join(self.path, f"part-{os.urandom(6).hex()}")
+            with open(name, "w") as f:
+                f.writelines(f"{r[0]}\n" for r in rows)
+            return name
+
+        def done(self, messages, batch):
+            with open(os.path.join(self.path, f"batch-{batch}"), "w") as f:
+                for m in sorted(messages):
+                    f.write(open(m).read())
+
+    connect_sink(spark, "line_files_of_test", LineFiles)
+    live = replayed(spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "batch int, v int"), "batch", scratch(spark))
+    live.select("v").writeStream.format("line_files_of_test").option("path", str(tmp_path)).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    got = [sorted(open(os.path.join(tmp_path, f"batch-{b}")).read().split()) for b in (0, 1)]
+    assert got == [["1", "2"], ["3"]]
+
+
 def test_socket_with_a_converter(spark):
     server = socket.create_server(("127.0.0.1", 0))
     port = server.getsockname()[1]

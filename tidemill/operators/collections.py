@@ -263,6 +263,14 @@ def map_partitions(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def zip_partitions(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """fn of the i-th partitions of both, as Arrow tables, for each i; both need as many partitions. A pair of partitions meets in memory."""
+    if left.rdd.getNumPartitions() != right.rdd.getNumPartitions():
+        raise ValueError("both tables must have the same number of partitions")
+    l, r = (d.withColumn("__part", F.spark_partition_id()) for d in (left, right))  # noqa: E741
+    return l.groupBy("__part").cogroup(r.groupBy("__part")).applyInArrow(lambda a, b: fn(a.drop_columns(["__part"]), b.drop_columns(["__part"])), schema)
+
+
 def pruned(df: DataFrame, parts: list[int]) -> DataFrame:
     """Only the rows of the numbered partitions."""
     return df.where(F.spark_partition_id().isin(parts))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import socket
 import struct
+import threading
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 
 class PositionedReader:
@@ -191,6 +192,106 @@ class Pushed:
         return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(self.path)
 
 
+class Receiver:
+    """A program's own feed: work(put) runs on a thread and hands rows over with put(rows); after an error it starts again.
+
+    Rows are stored `block` seconds apart, a file each, before a stream reads them, so that a batch that fails reads them again.
+    """
+
+    def __init__(self, pushed: Pushed, work, pause: float = 1.0, block: float = 0.2, tries: int = 10):
+        self.pushed, self.work, self.pause, self.block, self.tries = pushed, work, pause, block, tries
+        self.held: list[tuple] = []
+        self.errors: list[BaseException] = []
+        self._lock, self._end = threading.Lock(), threading.Event()
+        self._threads = [threading.Thread(target=t, daemon=True) for t in (self._run, self._store)]
+
+    def _put(self, rows: list[tuple]) -> None:
+        with self._lock:
+            self.held += rows
+
+    def _run(self) -> None:
+        for _ in range(self.tries):
+            try:
+                self.work(self._put)
+                return
+            except Exception as e:  # noqa: BLE001  kept for the caller; the feed starts again
+                self.errors.append(e)
+                if self._end.wait(self.pause):
+                    return
+
+    def _flush(self) -> None:
+        with self._lock:
+            rows, self.held = self.held, []
+        if rows:
+            self.pushed.put(rows)
+
+    def _store(self) -> None:
+        while not self._end.wait(self.block):
+            self._flush()
+
+    def start(self) -> Receiver:
+        for t in self._threads:
+            t.start()
+        return self
+
+    def stop(self, timeout: float = 10) -> None:
+        """Waits for the feed to end, at most `timeout` seconds, and stores what it has handed over."""
+        self._threads[0].join(timeout)
+        self._end.set()
+        self._threads[1].join()
+        self._flush()
+
+
+class Sink:
+    """What a stream sink has to supply, for connect_sink(): writing one part of a batch, and making a batch count, once all its parts are written.
+
+    A batch that runs again after a failure has the same number; what its parts left before must not count twice.
+    """
+
+    def write(self, batch_rows: Iterator) -> object:
+        """On an executor; gives a message for done()."""
+        raise NotImplementedError
+
+    def done(self, messages: list, batch: int) -> None:
+        raise NotImplementedError
+
+    def failed(self, messages: list, batch: int) -> None:
+        pass
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, message: object):
+        self.message = message
+
+
+class _SinkWriter(DataSourceStreamWriter):
+    def __init__(self, sink: Sink):
+        self.sink = sink
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        return _Written(self.sink.write(iterator))
+
+    def commit(self, messages: list, batchId: int) -> None:
+        self.sink.done([m.message for m in messages if m is not None], batchId)
+
+    def abort(self, messages: list, batchId: int) -> None:
+        self.sink.failed([m.message for m in messages if m is not None], batchId)
+
+
+def connect_sink(spark: SparkSession, name: str, make) -> None:
+    """Registers a stream sink: make(options) gives a Sink."""
+
+    class Target(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def streamWriter(self, schema, overwrite):
+            return _SinkWriter(make(dict(self.options)))
+
+    spark.dataSource.register(Target)
+
+
 def records(rows: list[dict]) -> list[str]:
     """Dictionaries as lines of JSON, for feeds of text."""
     return [json.dumps(r, sort_keys=True) for r in rows]
