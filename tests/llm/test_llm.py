@@ -540,6 +540,12 @@ def test_secrets_by_force(spark):
     assert got == sorted((i, lo, hi) for i, t in odd for lo, hi, _ in secrets_by_force(t, forest)) and {g[0] for g in got} == {1, 2, 3}
 
 
+def test_a_very_long_candidate():
+    block = "".join(np.random.default_rng(4).choice(list("ABCDEFGHIJabcdefghij0123456789+/"), 1 << 16))
+    x, y = secrets.describe(block, "token = ", ""), secrets.describe(block * 128, "token = ", "")  # 64 KB and 8 MB
+    assert y[0] == 128 * x[0] and np.allclose(x[1:6], y[1:6], atol=1e-3) and abs(secrets.covered("xxpasswordtokenyy") - 13 / 17) < 1e-9
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r for r in license_scan(docs).collect()}
     assert (got[10]["base_labels"], got[10]["labels"], got[10]["first_word"], got[10]["last_word"], got[10]["n_base"]) == ("cc-by-nc", "cc-by-nc,gpl", 2, 2, 1)

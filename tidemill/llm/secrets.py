@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,13 +65,15 @@ def kind_of(value: str, before: str) -> str:
     return "assigned" if ASKS.search(before) else "opaque"
 
 
+_COVERING = re.compile("|".join(sorted((w for w in DICTIONARY if 3 <= len(w) <= 9), key=lambda w: (-len(w), w))))
+
+
 def covered(value: str) -> float:
-    """Share of the characters that dictionary words of three letters or more cover, longest first."""
-    s, i, hit = value.lower(), 0, 0
-    while i < len(s):
-        n = next((n for n in range(min(9, len(s) - i), 2, -1) if s[i : i + n] in DICTIONARY), 0)
-        hit, i = hit + n, i + max(n, 1)
-    return hit / max(len(s), 1)
+    """Share of the characters that dictionary words of three to nine letters cover, the longest at each place."""
+    return sum(len(m[0]) for m in _COVERING.finditer(value.lower())) / max(len(value), 1)
+
+
+_REPEATS = re.compile(r"(.)\1+", re.S)
 
 
 def _class(c: str) -> int:
@@ -78,19 +81,22 @@ def _class(c: str) -> int:
 
 
 def describe(value: str, before: str, after: str) -> list[float]:
-    """FEATURES of a candidate with the text before and after it."""
+    """FEATURES of a candidate with the text before and after it. Values of any length: a few arrays of as many bytes."""
     n = max(len(value), 1)
-    counts = np.array([value.count(c) for c in set(value)] or [1]) / n
-    classes = [_class(c) for c in value]
-    switches = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n
-    runs = max((len(m[0]) for m in re.finditer(r"(.)\1*", value)), default=0)
+    every = Counter(value)
+    counts = np.array(list(every.values()) or [1]) / n
+    classes = np.frombuffer(value.translate({ord(c): str(_class(c)) for c in every}).encode("ascii"), np.uint8) - 48
+    kinds = np.bincount(classes, minlength=4)
+    switches = int(np.count_nonzero(classes[1:] != classes[:-1])) / n
+    runs = max((len(m[0]) for m in _REPEATS.finditer(value)), default=min(len(value), 1))
+    amount = lambda test: sum(k for c, k in every.items() if test(c)) / n
     tail = before[-AROUND:]
     return [
-        len(value), float(-(counts * np.log2(counts)).sum()), classes.count(1) / n, classes.count(2) / n, classes.count(0) / n, switches, len(set(value)) / n,
-        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(value.isdigit()), covered(value), value.count("/") / n, value.count(".") / n,
+        len(value), float(-(counts * np.log2(counts)).sum()), kinds[1] / n, kinds[2] / n, kinds[0] / n, switches, len(every) / n,
+        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(value.isdigit()), covered(value), every["/"] / n, every["."] / n,
         float(bool(re.search(r"(://|www\.|[/\\])\S*$", tail)) or after.startswith(("/", "\\"))), float(bool(ASKS.search(tail))), float(tail.endswith(QUOTES) and after[:1] == tail[-1:]),
-        float(bool(NEAR_GOOD.search(tail))), float(bool(NEAR_BAD.search(tail) or NEAR_BAD.search(after[:16]))), float(any(p.match(value) for _, p in KINDS)), value.count("-") / n, runs / n,
-        float(bool((m := ASKS.search(tail)) and m[2] == "=")), sum(not (c.isalnum() or c in "+/_-. ") for c in value) / n, sum(c in "()[]{}<>" for c in value) / n, value.count(" ") / n,
+        float(bool(NEAR_GOOD.search(tail))), float(bool(NEAR_BAD.search(tail) or NEAR_BAD.search(after[:16]))), float(any(p.match(value) for _, p in KINDS)), every["-"] / n, runs / n,
+        float(bool((m := ASKS.search(tail)) and m[2] == "=")), amount(lambda c: not (c.isalnum() or c in "+/_-. ")), amount(lambda c: c in "()[]{}<>"), every[" "] / n,
     ]
 
 
