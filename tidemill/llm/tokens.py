@@ -25,11 +25,15 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.most, self.cache = most, {}
+        self.most, self.cache, self.short = most, {}, {}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def piece(self, word: str) -> bytes:
         """Ids of one pre-token, four bytes each."""
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_TO_CHAR))])
+        if not (word.isascii() and word.isprintable() and " " not in word):  # those bytes stand for themselves
+            word = word.encode().decode("latin-1").translate(BYTE_TO_CHAR)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(word)])
 
     def parts(self, text: str):
         """Stretches of text between special tokens, and the ids of those."""
@@ -55,7 +59,20 @@ class WordEncoder(Encoder):
         super().__init__(definition, WORD_PATTERN, most)
 
     def _stretch(self, chunk: str) -> bytes:
-        return b"".join([self.piece(w) for w in self.pattern.findall(chunk)])
+        if chunk.isascii() and chunk.isalpha():
+            return self.piece(chunk)
+        out, short = [], self.short
+        for w in self.pattern.findall(chunk):
+            if len(w) > 3:
+                out.append(self.piece(w))
+                continue
+            ids = short.get(w)  # digits, marks and short runs of letters
+            if ids is None:
+                if len(short) >= self.most:
+                    short.clear()
+                ids = short[w] = self.piece(w)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -68,9 +85,10 @@ class WordEncoder(Encoder):
             part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()  # no final sigma
             # characters that str.split takes for white space, but the pattern does not
             chunks = part.split() if not _ODD.search(part) else [part]
-            get = self.cache.get
-            for c in chunks:
-                out.append(get(c) or self._remembered(c, self._stretch))
+            found = list(map(self.cache.get, chunks))
+            if None in found:
+                found = [x or self._remembered(c, self._stretch) for x, c in zip(found, chunks, strict=True)]
+            out += found
         return b"".join(out)
 
 
