@@ -100,3 +100,18 @@ def test_strong_components_by_force(spark):
     want = [(i, min(j for j in reach[i] if i in reach[j])) for i in ids]
     g = Graph.from_edges(spark.createDataFrame(sorted(edges), "src long, dst long"))
     assert len(set(c for _, c in want)) < len(ids) and sorted(tuple(x) for x in g.strongly_connected().select("id", "component").collect()) == want
+
+
+def test_strong_components_take_few_rounds(spark, monkeypatch):
+    """Long paths once took a round for every vertex; here they end in cycles, cross, and hold vertices of one edge in and out between branches."""
+    from tidemill.operators import graph as G
+
+    calls = []
+    monkeypatch.setattr(G, "written", lambda df, f=G.written: (calls.append(1), f(df))[1])
+    path = [(i, i + 1) for i in range(400)]
+    cycle = [(1000 + i, 1000 + (i + 1) % 100) for i in range(100)]
+    ears = [(0, 2000), *[(2000 + i, 2001 + i) for i in range(50)], (2050, 200), (200, 3000), *[(3000 + i, 3001 + i) for i in range(50)], (3050, 0)]
+    g = Graph.from_edges(spark.createDataFrame([*path, *cycle, *ears, (400, 1000)], "src long, dst long"))
+    want = {i: 0 for i in [*range(201), *range(2000, 2051), *range(3000, 3051)]} | {i: i for i in range(201, 401)} | {i: 1000 for i in range(1000, 1100)}
+    assert dict(map(tuple, g.strongly_connected().select("id", "component").collect())) == want
+    assert len(calls) < 80

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, written
+from ..storage import NO_BROADCAST, dropped, settings, written
 from .components import components
 
 
@@ -148,20 +148,82 @@ class Graph:
             if moved.where("value <> old").isEmpty():
                 return values.select("id", F.col("value.v").alias("value"))
 
+    def _chains(self) -> tuple[DataFrame, DataFrame, DataFrame, Graph]:
+        """Paths through vertices with one edge in and one out, put together; edges are distinct, none is a loop.
+
+        Gives id, low: the vertices of cycles that nothing else touches, and their smallest; id, last: the vertices of paths,
+        and the last of theirs; last, u, w: the ends of the paths; and the graph of all other vertices, with an edge for
+        each path. Pointers are doubled, so a path of n vertices takes log2(n) rounds; those that have not arrived all
+        differ, so no key is joined by more than two rows. A round in which none arrives leaves only cycles, and one in which no
+        cycle's minimum falls either has seen them whole.
+        """
+        ends = self.edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+        ends = ends.union(self.edges.select("dst", F.lit(None).cast(self.edges.schema["dst"].dataType), F.lit(0), F.lit(1)))
+        inner = written(ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("to").alias("to")).where("o = 1 and i = 1").select("id", "to"))
+        following = inner.join(inner.select(F.col("id").alias("to"), F.lit(True).alias("on")), "to", "left")
+        at = F.when(F.col("on"), F.col("to")).otherwise(F.col("id"))
+        at_last = written(following.select("id", at.alias("at"), F.col("on").isNull().alias("ended"), F.least("id", at).alias("low")))
+        while True:
+            above = at_last.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("ended").alias("ended2"), F.col("low").alias("low2"))
+            on = at_last.where("not ended").select("id", "at", "low").join(above, "at")
+            on = on.select("id", F.col("at2").alias("at"), F.col("ended2").alias("ended"), F.least("low", "low2").alias("low"), F.expr("ended2 or low2 < low").alias("moved"))
+            jumped = written(on.union(at_last.where("ended").select("id", "at", "ended", "low", F.lit(False))))
+            dropped(at_last)
+            at_last = jumped
+            if at_last.where("moved").isEmpty():
+                break
+        paths = at_last.where("ended").select("id", F.col("at").alias("last"))
+        into = self.edges.join(inner.select(F.col("id").alias("src")), "src", "left_anti")
+        first = into.join(paths.toDF("dst", "last"), "dst").select("last", F.col("src").alias("u"))
+        links = written(first.join(inner.toDF("last", "w"), "last"))
+        plain = into.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+        edges = written(plain.union(links.where("u <> w").select("u", "w")).distinct())
+        rest = Graph(written(self.vertices.join(inner.select("id"), "id", "left_anti").select("id")), edges)
+        return at_last.where("not ended").select("id", "low"), paths, links, rest
+
+    def _coloured(self) -> DataFrame:
+        """id, root: strong components that forward colours, then backward reach within a colour find; at least one if there is a vertex."""
+        colour = self._first_above()
+        same = self.edges.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "c2"), "dst").where("c = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = Graph(self.vertices, same)._first_above()  # a colour's own vertex is its first, so it is found wherever it can be reached
+        return written(back.toDF("id", "root").join(colour.toDF("id", "colour"), "id").where("root = colour").select("id", "root"))
+
     def strongly_connected(self) -> DataFrame:
-        """id, component (smallest id): forward colours, then backward reach within a colour, until no vertex is left."""
-        left, done = Graph(written(self.vertices.select("id")), written(self.edges.select("src", "dst").where("src <> dst").distinct())), None
-        while not left.vertices.isEmpty():
-            colour = left._first_above()
-            same = left.edges.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "c2"), "dst").where("c = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            back = Graph(left.vertices, same)._first_above()  # a colour's own vertex is its first, so it is found wherever it can be reached
-            root = back.toDF("id", "root").join(colour.toDF("id", "colour"), "id").where("root = colour").select("id", "root")
-            least = root.groupBy("root").agg(F.min("id").alias("component"))
-            hit = written(root.join(least, "root").select("id", "component"))
-            done = hit if done is None else done.union(hit)
-            ids = hit.select("id")
-            left = Graph(written(left.vertices.join(ids, "id", "left_anti")), written(left.edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti")))
-        return left.vertices.select("id", F.col("id").alias("component")) if done is None else done
+        """id, component (smallest id).
+
+        Each round puts paths together, takes away vertices without an edge in or out (each a component of its own) and, unless
+        that left less than half, one coloured step's components. Then paths are opened again, the last first: their
+        vertices belong to their ends' component if both ends share one, else each is its own.
+        """
+        with settings(self.vertices.sparkSession, NO_BROADCAST):
+            left = Graph(written(self.vertices.select("id")), written(self.edges.select("src", "dst").where("src <> dst").distinct()))
+            done, levels, before = left.vertices.limit(0).select("id", F.col("id").alias("root")), [], left.vertices.count()
+            while before:
+                cycles, paths, links, left = left._chains()
+                levels.append((paths, links))
+                both = left.edges.select(F.col("src").alias("id")).intersect(left.edges.select("dst"))
+                kept = written(left.vertices.join(both, "id", "left_semi"))
+                done = done.union(cycles).union(left.vertices.join(kept, "id", "left_anti").select("id", F.col("id").alias("root")))
+                left, now = left._within(kept), kept.count()
+                if now * 2 > before:
+                    hit = left._coloured()
+                    done = done.union(hit)
+                    left = left._within(written(left.vertices.join(hit.select("id"), "id", "left_anti")))
+                    now = left.vertices.count()
+                before = now
+            for paths, links in reversed(levels):
+                if paths.isEmpty():
+                    continue
+                done = written(done)
+                shared = links.join(done.toDF("u", "root"), "u").join(done.toDF("w", "other"), "w").where("root = other").select("last", "root")
+                done = done.union(paths.join(shared, "last", "left").select("id", F.coalesce("root", "id")))
+            done = written(done)
+            return written(done.join(done.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component"))
+
+    def _within(self, vertices: DataFrame) -> Graph:
+        """These vertices and the edges between them, written."""
+        ids = vertices.select("id")
+        return Graph(vertices, written(self.edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("src", "dst")))
 
     def pagerank(self, rounds: int | None = None, reset: float = 0.15, tolerance: float | None = None) -> DataFrame:
         """id, rank: unnormalised ranks that start at 1; a given number of rounds, or until no rank moves by more than `tolerance`."""
