@@ -115,3 +115,27 @@ def test_strong_components_take_few_rounds(spark, monkeypatch):
     want = {i: 0 for i in [*range(201), *range(2000, 2051), *range(3000, 3051)]} | {i: i for i in range(201, 401)} | {i: 1000 for i in range(1000, 1100)}
     assert dict(map(tuple, g.strongly_connected().select("id", "component").collect())) == want
     assert len(calls) < 80
+
+
+def test_triangles_in_blocks(spark, monkeypatch):
+    """Against brute force, over several blocks and chunks; pairs of edges that meet are in no shuffle."""
+    from tidemill.operators import triangles as T
+
+    r = random.Random(3)
+    edges = sorted({(r.randrange(40), r.randrange(40)) for _ in range(500)} | {(0, i) for i in range(100)})
+    near = {i: set() for e in edges for i in e}
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {i: sum(len(near[i] & near[j]) for j in near[i]) // 2 for i in near}
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"))
+    got = g.triangles()
+    assert dict(map(tuple, got.collect())) == want and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    few = T.triangles(g.edges.toDF("a", "b"), 150)
+    assert dict(map(tuple, few.collect())) == {i: n for i, n in want.items() if n}
+    import numpy as np
+
+    monkeypatch.setattr(T, "AT_ONCE", 3)  # chunks of an edge or two, looked up by search
+    code = np.array(sorted({(min(e), max(e)) for e in edges if e[0] != e[1]}))
+    assert dict(enumerate(T._counted(code[:, 0], code[:, 1], 100).tolist())) == want
