@@ -17,7 +17,7 @@ from tidemill.operators import graph as G
 from tidemill.operators import ml
 from tidemill.operators.components import components
 from tidemill.sources.custom import BlockFile, Pushed, Receiver, Sink, connect, connect_sink, converted_socket
-from tidemill.sources.files import empty_table, jdbc_range, multi_insert, read_table, regex_table, whole_files, write_table
+from tidemill.sources.files import derby_copy, empty_table, jdbc_range, multi_insert, read_table, regex_table, whole_files, write_table
 from tidemill.sources.hadoop import hadoop_file, save_hadoop_file
 from tidemill.sources.live import replayed
 from tidemill.sources.pipes import pipe
@@ -372,3 +372,17 @@ def test_socket_with_a_converter(spark):
     q.stop()
     server.close()
     assert sorted(set(got)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_derby_is_read_outside_of_its_jvm(spark):
+    """An executor is another JVM than the driver: the database must open in one that Spark's own has nothing to do with."""
+    import subprocess
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "K int, V string")
+    url = derby_copy(df, "T1")
+    assert sorted(map(tuple, jdbc_range(spark, url, "T1", "K", 2, 3, 2, driver="org.apache.derby.jdbc.EmbeddedDriver").collect())) == [(2, None), (3, "c")]
+    jvm = spark.sparkContext._jvm
+    jars = jvm.java.lang.System.getProperty("java.class.path")
+    java = jvm.java.lang.System.getProperty("java.home") + "/bin/java"
+    out = subprocess.run([java, "-Dderby.stream.error.file=/dev/null", "-cp", jars, "org.apache.derby.tools.ij"], input=f"connect '{url}'; select count(*) + 40 from T1;", capture_output=True, text=True, timeout=120).stdout
+    assert "43" in out
