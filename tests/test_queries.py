@@ -39,3 +39,13 @@ def test_query(spark, duck, name):
     want = duck.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+
+
+def test_dates_beyond_the_year_9999(spark, duck, tmp_path):
+    """Spark puts a plus before years of five digits, DuckDB doesn't."""
+    d = str(tmp_path)
+    duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey * 6000 AS o_orderkey) FROM '{SF}/orders.parquet') TO '{d}/orders.parquet'")
+    df = QUERIES["fn_date_rest"](spark, d)
+    want = duckdb.sql(ORACLE["fn_date_rest"].replace("FROM orders", f"FROM '{d}/orders.parquet'"))
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert got == rows(want.columns, want.fetchall()) and max(len(r[sorted(df.columns).index("fu")]) for r in got) == 11
