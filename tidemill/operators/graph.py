@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import NO_BROADCAST, dropped, settings, written
+from ..storage import NO_BROADCAST, dropped, partitions, settings, written
 from .components import components
 from .triangles import triangles
 
@@ -108,9 +108,12 @@ class Graph:
         row = self.vertices.select("id").orderBy(F.xxhash64("id", F.lit(seed))).first()
         return None if row is None else row[0]
 
-    def neighbours(self) -> DataFrame:
-        """id, neighbours (sorted, distinct, either direction)."""
-        both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).distinct()
+    def neighbours(self, rows: int = 1_000_000) -> DataFrame:
+        """id, neighbours (sorted, distinct, either direction). A task gathers about `rows` of them, however many edges there are."""
+        with settings(self.edges.sparkSession, partitions(self.edges)):
+            edges = written(self.edges.select("src", "dst"))
+        parts = -(-2 * edges.count() // rows) or 1
+        both = edges.union(edges.select("dst", "src")).repartition(parts, "src").distinct()
         return both.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
     def pregel(self, start: Column, send: Callable[[Column, Column], Column], combine: Callable[[Column], Column], apply: Callable[[Column, Column], Column], most: int | None = None) -> DataFrame:
@@ -130,7 +133,7 @@ class Graph:
     def connected_components(self) -> DataFrame:
         """id, value: the smallest id reachable, edges taken both ways; repeated contraction, so long paths take few rounds."""
         found = components(self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-        return self.vertices.select("id").join(found.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("value"))
+        return self.vertices.select("id").join(found.toDF("id", "label").hint("merge"), "id", "left").select("id", F.coalesce("label", "id").alias("value"))
 
     def _first_above(self) -> DataFrame:
         """id, value: of all vertices that reach a vertex, itself too, the first by (hash, id).
