@@ -21,7 +21,7 @@ from tidemill.sources.files import derby_copy, empty_table, jdbc_range, multi_in
 from tidemill.sources.hadoop import hadoop_file, save_hadoop_file
 from tidemill.sources.live import replayed
 from tidemill.sources.pipes import pipe
-from tidemill.storage import scratch, settings, shared_dir
+from tidemill.storage import partitions, scratch, settings, shared_dir
 from tidemill.streaming.ddl import parse
 from tidemill.streaming.state import KeyedState, Windows, on_progress, stop_gracefully
 from tidemill.streaming.streams import StreamQuery, incremental
@@ -386,3 +386,33 @@ def test_derby_is_read_outside_of_its_jvm(spark):
     java = jvm.java.lang.System.getProperty("java.home") + "/bin/java"
     out = subprocess.run([java, "-Dderby.stream.error.file=/dev/null", "-cp", jars, "org.apache.derby.tools.ij"], input=f"connect '{url}'; select count(*) + 40 from T1;", capture_output=True, text=True, timeout=120).stdout
     assert "43" in out
+
+
+def _joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_send_no_tables_to_the_driver(spark, monkeypatch):
+    from tidemill.operators import components as K
+
+    plans = []
+    monkeypatch.setattr(K, "written", lambda df, f=K.written: (plans.append(_joins(df)), f(df))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long")
+    found = G.Graph.from_edges(edges).connected_components()
+    plans.append(_joins(found))
+    assert {r["value"] for r in found.collect()} == {0} and len(plans) > 5
+    assert not [p for p in plans if "Broadcast" in p] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_neighbours_tasks_follow_the_edges(spark):
+    edges = [(i % 10, i) for i in range(100)] + [(3, 1), (1, 3), (1, 3)]
+    want = {}
+    for a, b in edges:
+        want.setdefault(a, set()).add(b)
+        want.setdefault(b, set()).add(a)
+    found = G.Graph.from_edges(spark.createDataFrame(edges, "src long, dst long")).neighbours(10)
+    assert {r["id"]: r["neighbours"] for r in found.collect()} == {k: sorted(v) for k, v in want.items()}
+    assert "hashpartitioning(src" in _joins(found) and ", 21), REPARTITION" in _joins(found)  # 206 rows, ten a task; no other shuffle
+    assert _joins(found).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    big = spark.range(10).withColumn("x", F.lit("y" * 100))
+    assert int(partitions(big, 10)["spark.sql.shuffle.partitions"]) > 4 and partitions(big, 1 << 40)["spark.sql.shuffle.partitions"] == spark.conf.get("spark.sql.shuffle.partitions")

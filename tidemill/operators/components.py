@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, written
+from ..storage import NO_BROADCAST, dropped, settings, written
 
 
 def components(edges: DataFrame, counted: list[int] | None = None) -> DataFrame:
@@ -18,9 +18,14 @@ def components(edges: DataFrame, counted: list[int] | None = None) -> DataFrame:
     doublings, for paths in key order as well.
 
     Both sides of every join are written tables, which adaptive execution can split where one node has a large share
-    of the edges. Null ends and loops are ignored; no edges give no rows. counted: gets the doublings of every round.
+    of the edges, and none is broadcast: the driver would collect one for every doubling. Null ends and loops are ignored; no edges give no rows. counted: gets the doublings of every round.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    with settings(edges.sparkSession, NO_BROADCAST):
+        return _contracted(edges, counted)
+
+
+def _contracted(edges: DataFrame, counted: list[int] | None) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
