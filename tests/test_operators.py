@@ -416,3 +416,14 @@ def test_neighbours_tasks_follow_the_edges(spark):
     assert _joins(found).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
     big = spark.range(10).withColumn("x", F.lit("y" * 100))
     assert int(partitions(big, 10)["spark.sql.shuffle.partitions"]) > 4 and partitions(big, 1 << 40)["spark.sql.shuffle.partitions"] == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_theta_joins_of_streams_run_on_all_cores(spark):
+    """A batch that is one file had all its pairs made by one task."""
+    live = {n: replayed(spark.range(1000).select("id", F.lit(0).alias("batch")), "batch", scratch(spark)) for n in ("a", "b")}
+    path = scratch(spark)
+    out = StreamQuery(spark, live, "SELECT a.id AS x, b.id AS y FROM a JOIN b ON a.id + 990 < b.id").table(path)
+    assert sorted(map(tuple, out.select("x", "y").collect())) == [(x, y) for x in range(1000) for y in range(1000) if x + 990 < y]
+    plans = []
+    StreamQuery(spark, live, "SELECT count(*) AS n FROM a JOIN b ON a.id < b.id").start(lambda df, n: plans.append((df.first()[0], _joins(df)))).awaitTermination()
+    assert [n for n, _ in plans] == [499500] and "REPARTITION_BY_NUM" in plans[0][1]
