@@ -427,3 +427,27 @@ def test_theta_joins_of_streams_run_on_all_cores(spark):
     plans = []
     StreamQuery(spark, live, "SELECT count(*) AS n FROM a JOIN b ON a.id < b.id").start(lambda df, n: plans.append((df.first()[0], _joins(df)))).awaitTermination()
     assert [n for n, _ in plans] == [499500] and "REPARTITION_BY_NUM" in plans[0][1]
+
+
+def test_svd_writes_no_table_of_edges(spark, monkeypatch):
+    """Against the same steps in plain Python; what a round writes has a row for each end, not one for each edge."""
+    rows = [(i % 7, 100 + j, float((i * j) % 5)) for i in range(7) for j in range(9)]
+    sizes = []
+    monkeypatch.setattr(G, "written", lambda df, f=G.written: (out := f(df), sizes.append(out.count()))[0])
+    g = G.Graph.from_edges(spark.createDataFrame(rows, "src long, dst long, r double"))
+    first, mean = g.svd_plus_plus("r", 2, 0)
+    got = {(r["kind"], r["id"]): r for r in g.svd_plus_plus("r", 2, 1)[0].collect()}
+    old = {(r["kind"], r["id"]): r for r in first.collect()}
+    assert sizes.count(63) == 2 and max(x for x in sizes if x != 63) == 16  # the edges once a call
+    u, i = ({k[1]: r for k, r in old.items() if k[0] == kind} for kind in ("user", "item"))
+    e = {(s, d): r - min(5, max(0, mean + u[s]["bias"] + i[d]["bias"] + sum(q * (p + y) for q, p, y in zip(i[d]["p"], u[s]["p"], u[s]["y"])))) for s, d, r in rows}
+    near = lambda x, y: all(abs(a - b) < 1e-9 for a, b in zip(x, y, strict=True))
+    for s in u:
+        mine = [d for a, d in e if a == s]
+        assert near(got["user", s]["p"], [u[s]["p"][k] + sum(0.007 * (e[s, d] * i[d]["p"][k] - 0.015 * u[s]["p"][k]) for d in mine) for k in (0, 1)])
+        assert near([got["user", s]["bias"]], [u[s]["bias"] + sum(0.007 * (e[s, d] - 0.005 * u[s]["bias"]) for d in mine)])
+    for d in i:
+        mine = [s for s, b in e if b == d]
+        assert near(got["item", d]["p"], [i[d]["p"][k] + sum(0.007 * (e[s, d] * (u[s]["p"][k] + u[s]["y"][k]) - 0.015 * i[d]["p"][k]) for s in mine) for k in (0, 1)])
+        assert near(got["item", d]["y"], [i[d]["y"][k] + sum(0.007 * (e[s, d] * u[s]["norm"] * i[d]["p"][k] - 0.015 * i[d]["y"][k]) for s in mine) for k in (0, 1)])
+        assert near([got["item", d]["bias"]], [i[d]["bias"] + sum(0.007 * (e[s, d] - 0.005 * i[d]["bias"]) for s in mine)])

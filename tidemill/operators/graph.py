@@ -278,29 +278,33 @@ class Graph:
         noise = lambda c, k: F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda i: (F.pmod(F.xxhash64(c, i, F.lit(seed + k)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 0.2)
         per = lambda c: edges.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n"), F.sum("r").alias("s"))
         bias, norm = (F.col("s") / F.col("n") - F.lit(mean)).alias("bias"), (1 / F.sqrt(F.col("n"))).alias("norm")
-        users = written(per("src").select("id", noise(F.col("id"), 0).alias("p"), bias, norm))
-        items = written(per("dst").select("id", noise(F.col("id"), 1).alias("p"), noise(F.col("id"), 2).alias("y"), bias))
+        users = written(per("src").select("id", "n", noise(F.col("id"), 0).alias("p"), bias, norm))
+        items = written(per("dst").select("id", "n", noise(F.col("id"), 1).alias("p"), noise(F.col("id"), 2).alias("y"), bias))
         add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
         times = lambda k, a: F.transform(a, lambda x: k * x)
         summed = lambda c, name: F.array(*[F.sum(F.col(c)[i]) for i in range(rank)]).alias(name)
+        stepped = lambda own, up: F.zip_with(own, up, lambda w, x: w + g2 * (x - g7 * F.col("n") * w))
+        moved_bias = (F.col("bias") + g1 * (F.col("e") - g6 * F.col("n") * F.col("bias"))).alias("bias")
 
         def implicit() -> DataFrame:
             y = edges.join(items.select(F.col("id").alias("dst"), "y"), "dst").groupBy(F.col("src").alias("id")).agg(summed("y", "y"))
             return users.join(y, "id").select("id", "p", times(F.col("norm"), F.col("y")).alias("y"), "bias", "norm")
 
         for _ in range(rounds):
-            u = implicit().select(F.col("id").alias("src"), F.col("p").alias("pu"), F.col("y").alias("yu"), F.col("bias").alias("bu"), "norm")
-            t = edges.join(u, "src").join(items.select(F.col("id").alias("dst"), F.col("p").alias("qi"), F.col("y").alias("yi"), F.col("bias").alias("bi")), "dst")
-            dot = F.aggregate(F.zip_with(F.col("qi"), add(F.col("pu"), F.col("yu")), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            e = F.col("r") - F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.lit(mean) + F.col("bu") + F.col("bi") + dot))
-            t = t.withColumn("e", e)
-            step = lambda up, own: F.zip_with(up, own, lambda x, w: (x - g7 * w) * g2)
-            t = written(t.select("src", "dst", step(times(F.col("e"), F.col("qi")), F.col("pu")).alias("dp"), step(times(F.col("e"), add(F.col("pu"), F.col("yu"))), F.col("qi")).alias("dq"), step(times(F.col("e") * F.col("norm"), F.col("qi")), F.col("yi")).alias("dy"), ((F.col("e") - g6 * F.col("bu")) * g1).alias("du"), ((F.col("e") - g6 * F.col("bi")) * g1).alias("di")))
-            du = t.groupBy(F.col("src").alias("id")).agg(summed("dp", "dp"), F.sum("du").alias("db"))
-            di = t.groupBy(F.col("dst").alias("id")).agg(summed("dq", "dp"), summed("dy", "dy"), F.sum("di").alias("db"))
-            users = written(users.join(du, "id").select("id", add(F.col("p"), F.col("dp")).alias("p"), (F.col("bias") + F.col("db")).alias("bias"), "norm"))
-            items = written(items.join(di, "id").select("id", add(F.col("p"), F.col("dp")).alias("p"), add(F.col("y"), F.col("dy")).alias("y"), (F.col("bias") + F.col("db")).alias("bias")))
-            dropped(t)
+            # An end's own values leave its sums over edges: edges carry its partner's values alone, and both ends' sums are one aggregation.
+            w = add(F.col("p"), F.col("y"))
+            u = implicit().select(F.col("id").alias("src"), *[w[k].alias(f"w{k}") for k in range(rank)], F.col("bias").alias("bu"), "norm")
+            t = edges.join(u, "src").join(items.select(F.col("id").alias("dst"), *[F.col("p")[k].alias(f"q{k}") for k in range(rank)], F.col("bias").alias("bi")), "dst")
+            dot = reduce(lambda a, b: a + b, [F.col(f"q{k}") * F.col(f"w{k}") for k in range(rank)])
+            t = t.withColumn("e", F.col("r") - F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.lit(mean) + F.col("bu") + F.col("bi") + dot)))
+            e, end = F.col("e"), lambda user, c, v, n: F.struct(F.lit(user).alias("user"), F.col(c).alias("id"), *[(F.col("e") * F.col(f"{v}{k}")).alias(f"v{k}") for k in range(rank)], F.col("e").alias("e"), n.alias("en"))
+            both = t.select(F.inline(F.array(end(True, "src", "q", F.lit(0.0)), end(False, "dst", "w", e * F.col("norm")))))
+            sums = written(both.groupBy("user", "id").agg(F.array(*[F.sum(f"v{k}") for k in range(rank)]).alias("v"), F.sum("e").alias("e"), F.sum("en").alias("en")))
+            du, di = sums.where("user").drop("user", "en"), sums.where("not user").drop("user")
+            before = users, items
+            users = written(users.join(du, "id").select("id", "n", stepped(F.col("p"), F.col("v")).alias("p"), moved_bias, "norm"))
+            items = written(items.join(di, "id").select("id", "n", stepped(F.col("p"), F.col("v")).alias("p"), stepped(F.col("y"), times(F.col("en"), F.col("p"))).alias("y"), moved_bias))
+            dropped(sums, *before)
         out = implicit().select("id", F.lit("user").alias("kind"), "p", "y", "bias", "norm")
         return out.union(items.select("id", F.lit("item"), "p", "y", "bias", F.lit(None).cast("double"))), mean
 
